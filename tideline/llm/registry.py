@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chat, contamination, mixing, secrets, sharding
+from tideline.llm import chat, contamination, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -37,6 +42,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_shards, op3_mixing, op4_contamination, op8_chat, op9_secrets)
+    f.__name__: f for f in (op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets)
 }
 ORACLE: dict[str, str] = {}
