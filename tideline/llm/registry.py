@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chat, contamination, mixing, quality, secrets, sharding
+from tideline.llm import chat, contamination, jaccard, mixing, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets)
+    f.__name__: f for f in (op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets, op10_jaccard)
 }
 ORACLE: dict[str, str] = {}
