@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chat, contamination, jaccard, mixing, quality, secrets, sharding
+from tideline.llm import chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(_table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets, op10_jaccard)
+    f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets, op10_jaccard)
 }
 ORACLE: dict[str, str] = {}
