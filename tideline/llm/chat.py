@@ -26,6 +26,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideline.llm._saved import saved
+
 FORMATTED = "conv_id long, leaf long, rank int, n_turns long, formatted string, loss_spans string"
 
 
@@ -37,30 +39,28 @@ def replies(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
-
-
 def paths(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
-    """Root-to-leaf paths: tree, leaf, rank, total score, and a row for each step (depth, node).
+    """Root-to-leaf paths: tree, leaf, rank, total (score), depth (of the leaf), and a row for
+    each step with its node and how deep it lies (at).
 
-    nodes: tree, node, parent (null at a root), score.  per_tree keeps the best few branches.
+    nodes: tree, node (not negative), parent (null at a root), score.  per_tree keeps the best
+    few branches.
     """
     up = nodes.select(F.coalesce("tree", F.lit(-(1 << 62))).alias("tree"), "node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"))
     limit = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     reach, jumps = 1, []
     while reach <= limit:  # after k joins a pointer reaches 2**k rows up
-        up = _saved(up)
+        up = saved(up)
         jumps.append(up)
-        if up.where("`to` is not null").limit(1).count() == 0:
+        if up.where("`to` >= 0").limit(1).count() == 0:
             break
+        # Only rows that haven't come to their root go on.
         far = up.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("to").alias("to2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
-        up = up.join(far, (up["tree"] == far["t2"]) & (up["to"] == far["n2"]), "left").select("tree", "node", F.when(F.col("n2").isNull() & F.col("to").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("to2")).alias("to"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"))
+        go = up.where("`to` >= 0")
+        moved = go.join(far, (go["tree"] == far["t2"]) & (go["to"] == far["n2"]), "left").select("tree", "node", F.when(F.col("n2").isNull(), F.lit(-1).cast("long")).otherwise(F.col("to2")).alias("to"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"))
+        up = up.where("`to` is null or `to` < 0").unionByName(moved)
         reach *= 2
+    up = saved(up)
     parents = nodes.select(F.coalesce("tree", F.lit(-(1 << 62))).alias("tree"), F.col("parent").alias("node")).where("node is not null").distinct()
     tips = up.where("`to` is null").join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
@@ -68,12 +68,13 @@ def paths(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
     if per_tree is not None:
         tips = tips.where(F.col("rank") <= per_tree)
     # Walk down the powers of two: from each step, the step 2**k rows up, where there is one.
-    steps = tips.withColumn("node", F.col("leaf"))
+    steps = saved(tips.withColumn("node", F.col("leaf")))
     for jump in reversed(jumps):
         hop = jump.where("`to` >= 0").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "to")
         moved = steps.join(hop, (steps["tree"] == hop["t2"]) & (steps["node"] == hop["n2"]))
-        steps = steps.unionByName(moved.select(*[c for c in steps.columns if c != "node"], F.col("to").alias("node")))
-    return steps
+        steps = saved(steps.unionByName(moved.select(*[c for c in steps.columns if c != "node"], F.col("to").alias("node"))))
+    deep = up.where("`to` is null").select("tree", "node", F.col("depth").alias("at"))
+    return steps.join(deep, ["tree", "node"])
 
 
 def _escaped(c: Column) -> Column:
@@ -86,13 +87,11 @@ def unescaped(text: str) -> str:
 
 def formatted(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
     """One row for each chosen path: conv_id, leaf, rank, n_turns, formatted, loss_spans."""
-    none = F.lit(-(1 << 62))
+    none, nodes = F.lit(-(1 << 62)), saved(nodes)
     body = nodes.select(F.coalesce("tree", none).alias("tree"), "node", _escaped(F.coalesce("role", F.lit(""))).alias("role"), _escaped(F.coalesce("text", F.lit(""))).alias("text"))
-    depth = nodes.select(F.coalesce("tree", none).alias("tree"), "node")
     steps = paths(nodes, per_tree).join(body, ["tree", "node"])
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
-    del depth
-    per = steps.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("node", "role", "text", turn.alias("turn")))).alias("turns"))
+    per = steps.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", turn.alias("turn")))).alias("turns"))
     return per.select(
         F.nullif(F.col("tree"), none).alias("conv_id"), "leaf", "rank", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.col("turns.turn"), "").alias("formatted"),
