@@ -25,7 +25,6 @@ texts of under 50 bytes, empty tables and single documents lose nothing.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm import _tokens as tk
+from tideline.llm._packing import groups_of, ids_of, packed, steps, unpacked
 from tideline.llm._saved import marked, saved
 
 LENGTH = 50
@@ -41,26 +41,6 @@ GRAM = 20
 SIDE = (LENGTH - GRAM) // 2
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, deflated: high bytes cost next to nothing."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
-
-
-def unpacked(blobs: list[bytes], kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs]
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
-def steps(ids: np.ndarray) -> bytes:
-    return packed(np.diff(ids, prepend=np.int64(0)))
-
-
-def ids_of(blobs: list[bytes]) -> np.ndarray:
-    parts = [np.cumsum(unpacked([b], np.int64)) for b in blobs]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-
 def anchors(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """All anchors of a slice: their documents (indices), the first of the strings that picked
     them, how many more did, the anchor's offset in it, and hashes of gram, context and sides."""
@@ -100,28 +80,38 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 ENTRIES = "bucket int, h binary, k binary, docs binary, starts binary, extra binary"
 
 
+#: Anchors that a task gathers before it deals them out.
+DEALT = 500_000
+
+
 def _entries(documents: DataFrame, buckets: int) -> DataFrame:
+    def dealt(found: list[tuple]) -> pa.RecordBatch:
+        docs, starts, extra, h, k = (np.concatenate(c) for c in zip(*found, strict=True))
+        to = (h % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        docs, starts, extra, h, k, to = docs[order], starts[order], extra[order], (h[order] >> np.uint64(32)).astype(np.uint32), k[order], to[order]
+        cut = np.append(np.flatnonzero(_edges(to)), len(to)).tolist()
+        of = list(zip(cut, cut[1:]))  # noqa: B905
+        return pa.RecordBatch.from_arrays(
+            [pa.array(to[cut[:-1]]), pa.array([h[i:j].tobytes() for i, j in of]), pa.array([k[i:j].tobytes() for i, j in of]), pa.array([steps(docs[i:j]) for i, j in of]), pa.array([packed(starts[i:j]) for i, j in of]), pa.array([packed(extra[i:j]) for i, j in of])],
+            names=["bucket", "h", "k", "docs", "starts", "extra"],
+        )
+
     def run(batches):
+        found, n = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tk.buffers(b.column(1))
-            found = []
             for first, _, part, part_offs in tk.slices(data, offs):
                 x = anchors(part, part_offs)
                 if len(x["doc"]):
                     found.append((ids[first + x["doc"]], x["lo"].astype(np.uint32), (x["more"] << 8 | x["at"]).astype(np.uint16), x["h"], x["k"]))
-            if not found:
-                continue
-            docs, starts, extra, h, k = (np.concatenate(c) for c in zip(*found, strict=True))
-            to = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            docs, starts, extra, h, k, to = docs[order], starts[order], extra[order], (h[order] >> np.uint64(32)).astype(np.uint32), k[order], to[order]
-            cut = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)).tolist()
-            of = list(zip(cut, cut[1:]))  # noqa: B905
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cut[:-1]]), pa.array([h[i:j].tobytes() for i, j in of]), pa.array([k[i:j].tobytes() for i, j in of]), pa.array([steps(docs[i:j]) for i, j in of]), pa.array([packed(starts[i:j]) for i, j in of]), pa.array([packed(extra[i:j]) for i, j in of])],
-                names=["bucket", "h", "k", "docs", "starts", "extra"],
-            )
+                    n += len(x["doc"])
+                if n >= DEALT:
+                    yield dealt(found)
+                    found, n = [], 0
+        if found:
+            yield dealt(found)
 
     return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, ENTRIES)
 
@@ -140,6 +130,8 @@ CLASSES = "dbucket int, kind int, docs binary, starts binary, extra binary, keys
 
 def _by_document(kind: int, docs: np.ndarray, starts: np.ndarray, extra: np.ndarray, keys: np.ndarray | None, buckets: int) -> Iterator[tuple]:
     """Rows of packed entries, by the bucket of their documents."""
+    if not len(docs):
+        return
     to = dbucket(docs, buckets)
     order = np.lexsort((starts, docs, to))
     docs, starts, extra, to = docs[order], starts[order], extra[order], to[order]
@@ -160,29 +152,24 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, cols, strict=True)})
 
 
-def _classes(table: pa.Table, buckets: int, every: bool = False) -> pa.Table:
-    """Of one bucket: what equal contexts cover (kind 0), and the contexts to be compared (1),
-    those of later members of a class as well if every one is wanted."""
-    col = lambda c: table.column(c).to_pylist()
-    h, k = np.frombuffer(b"".join(col("h")), np.uint32), np.frombuffer(b"".join(col("k")), np.uint64)
-    docs, starts, extra = ids_of(col("docs")), unpacked(col("starts"), np.uint32), unpacked(col("extra"), np.uint16)
+def _classes(bucket: int, rows: list[tuple], every: bool = False) -> tuple[tuple, tuple]:
+    """Of one bucket: what equal contexts cover, and the contexts to be compared, those of later
+    members of a class as well if every one is wanted; as columns (docs, starts, extra, keys)."""
+    _, h, k, docs, starts, extra = zip(*rows, strict=True)
+    h, k = np.frombuffer(b"".join(h), np.uint32), np.frombuffer(b"".join(k), np.uint64)
+    docs, starts, extra = ids_of(docs), unpacked(starts, np.uint32), unpacked(extra, np.uint16)
     order = np.argsort(h, kind="stable")
     same = h[order]
     # Grams of one document only are most; they go before the finer sort.
     first = np.flatnonzero(_edges(same))
     size = np.diff(np.append(first, len(same)))
-    many = np.repeat((size > 1) & (np.minimum.reduceat(docs[order], first) < np.maximum.reduceat(docs[order], first)), size) if len(first) else np.empty(0, bool)
-    order = order[many]
+    order = order[np.repeat((size > 1) & (np.minimum.reduceat(docs[order], first) < np.maximum.reduceat(docs[order], first)), size)]
     h, k, docs, starts, extra = h[order], k[order], docs[order], starts[order], extra[order]
     order = np.lexsort((docs, k, h))
     h, k, docs, starts, extra = h[order], k[order], docs[order], starts[order], extra[order]
-    if not len(h):
-        return _table([], CLASSES)
-    new = _edges(h, k)
-    first = np.flatnonzero(new)
-    least = np.repeat(docs[first], np.diff(np.append(first, len(h))))  # the class's first document
-    later = docs > least
-    rows = list(_by_document(0, docs[later], starts[later], (extra[later] >> 8) + np.uint16(LENGTH), None, buckets)) if later.any() else []
+    first = np.flatnonzero(_edges(h, k))
+    size = np.diff(np.append(first, len(h)))
+    later = docs > np.repeat(docs[first], size)  # than the class's first document
     keep = np.zeros(len(first), bool)
     ch, ck = h[first], k[first]
     for shift in (40, 52):  # classes of a gram that share a side
@@ -190,11 +177,36 @@ def _classes(table: pa.Table, buckets: int, every: bool = False) -> pa.Table:
         by = np.lexsort((side, ch))
         start = _edges(ch[by], side[by])
         keep[by] |= ~(start & np.append(start[1:], True))
-    ask = np.repeat(keep, np.diff(np.append(first, len(h)))) & ~later | every
-    if ask.any():
-        keys = h[ask].astype(np.int64) | (int(table.column("bucket")[0].as_py()) << 32)
-        rows += _by_document(1, docs[ask], starts[ask], extra[ask], keys, buckets)
-    return _table(rows, CLASSES)
+    ask = np.repeat(keep, size) & ~later | every
+    keys = h.astype(np.int64) | (bucket << 32)
+    return (docs[later], starts[later], (extra[later] >> 8) + np.uint16(LENGTH), keys[later]), (docs[ask], starts[ask], extra[ask], keys[ask])
+
+
+#: Entries that a task holds before it writes them out by document.
+HELD = 1_000_000
+
+
+def _classed(entries: DataFrame, buckets: int, every: bool) -> DataFrame:
+    """Rows of kind 0 (covered) and 1 (to be compared), from all buckets of a task together."""
+
+    def run(batches):
+        held: list[list[tuple]] = [[], []]
+
+        def flush():
+            for kind in (0, 1):
+                docs, starts, extra, keys = (np.concatenate(c) for c in zip(*held[kind], strict=True))
+                held[kind].clear()
+                yield from _table(list(_by_document(kind, docs, starts, extra, keys if kind else None, buckets)), CLASSES).to_batches()
+
+        for rows in groups_of(batches):
+            for kind, x in enumerate(_classes(rows[0][0], rows, every)):
+                held[kind].append(x)
+            if sum(len(x[0]) for kind in held for x in kind) > HELD:
+                yield from flush()
+        if held[0]:
+            yield from flush()
+
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, CLASSES)
 
 
 CONTEXTS = "key long, doc long, start long, at int, context binary"
@@ -282,20 +294,6 @@ def maximal_repeats(before: list[bytes], after: list[bytes], length: int = LENGT
                 yield before_n, after_n, members[x : y + 1]
 
 
-def _groups_of(batches, each) -> Iterator:
-    """Calls each(key, rows) for rows that come sorted by key, over the ends of batches."""
-    key, rows = None, []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[0] != key:
-                if len(rows) > 1:
-                    yield from each(rows)
-                key, rows = r[0], []
-            rows.append(r)
-    if len(rows) > 1:
-        yield from each(rows)
-
-
 def _repeats_of(rows: list[tuple]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Of the contexts of one gram the repeats over several documents: length, (doc, start)."""
     if len({r[1] for r in rows}) < 2:
@@ -318,13 +316,11 @@ def _compared(contexts: DataFrame, buckets: int) -> DataFrame:
             held.clear()
             return t.to_batches()
 
-        def each(rows):
+        for rows in groups_of(batches):
             for size, places in _repeats_of(rows):
                 held.extend((doc, start, size) for doc, start in places if doc > places[0][0])
-            if len(held) > 500_000:
+            if len(held) > HELD // 4:
                 yield from flush()
-
-        yield from _groups_of(batches, each)
         if held:
             yield from flush()
 
@@ -337,7 +333,7 @@ def repeat_groups(documents: DataFrame) -> DataFrame:
     the strings of one anchor is put out in overlapping pieces, one for each of its anchors."""
 
     def run(batches):
-        def each(rows):
+        for rows in groups_of(batches):
             out = []
             for n, (size, places) in enumerate(_repeats_of(rows)):
                 name = hashlib.blake2b(f"{rows[0][0]}/{n}".encode(), digest_size=8).hexdigest()
@@ -345,8 +341,6 @@ def repeat_groups(documents: DataFrame) -> DataFrame:
             if out:
                 yield from _table(out, GROUPS).to_batches()
 
-        yield from _groups_of(batches, each)
-
     docs, classes, buckets = _found(documents, every=True)
     return _asked(docs, classes, buckets).repartition("key").sortWithinPartitions("key").mapInArrow(run, GROUPS)
 
@@ -374,9 +368,10 @@ def _placed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _found(documents: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame, int]:
-    buckets = 4 * max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """The documents' ids and texts, rows of CLASSES, and the number of buckets of documents."""
+    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs, saved(_entries(docs, buckets).groupBy("bucket").applyInArrow(lambda t: _classes(t, buckets, every), CLASSES)), buckets
+    return docs, saved(_classed(_entries(docs, 4 * parts), parts, every)), parts
 
 
 def _asked(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
