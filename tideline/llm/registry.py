@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding
+from tideline.llm import chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     return quality.quality(_table(spark, sf_dir, "documents"), trusted)
@@ -50,6 +54,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op6_quality, op8_chat, op9_secrets, op10_jaccard)
+    f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op5_toxicity, op6_quality, op8_chat, op9_secrets, op10_jaccard)
 }
 ORACLE: dict[str, str] = {}
