@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding, toxicity
+from tideline.llm import chaining, chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,6 +58,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op5_toxicity, op6_quality, op8_chat, op9_secrets, op10_jaccard)
+    f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op5_toxicity, op6_quality, op7_passages, op8_chat, op9_secrets, op10_jaccard)
 }
 ORACLE: dict[str, str] = {}
