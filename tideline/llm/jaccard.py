@@ -7,7 +7,7 @@ A document is the set of its distinct 3-word shingles (as 64-bit hashes).
    range of hashes is cut into d + 1 groups (d for the largest set of a band of
    sizes), so linked sets agree exactly in at least one group.  Sets are
    matched on hashes of whole groups; a set just below a band takes part in it too.
-3. Count vectors: shingles are hashed into 32 groups, a set is the point of its
+3. Count vectors: shingles are hashed into 256 groups, a set is the point of its
    group counts.  The overlap of two sets is at most the sum of the coordinates'
    minima.  Sets that met are searched through an R-tree of these points, whose boxes give the
    same bound for all points in them; pairs that can't reach the overlap go.
@@ -30,20 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm import _tokens as tk
+from tideline.llm._packing import ids_of, long, packed, short, steps, unpacked
 from tideline.llm._saved import least_labels, marked, saved
 
 SHINGLE = 3
 #: Linked: DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
-DIMENSIONS = 32
+#: Few enough for boxes to bound, enough that a lost and a new shingle seldom share a group.
+DIMENSIONS = 256
 #: Sizes of sets from which bands start: each half as large again.
 BANDS = [1, 10]
 while BANDS[-1] < 1 << 40:
     BANDS.append(-(-BANDS[-1] * 3 // 2))
 #: Members of a gathering that are searched at once; larger ones are dealt in blocks, each with each.
 BLOCK = 4096
-#: Untested partners for a set in one round; None: all that are left.
-ROUNDS = (4, 64, None)
+#: Best partners for a set in one round; None: all that are left.
+ROUNDS = (16, None)
+#: Bytes of a signature that travel, next to the number of its bucket.
+SIGNATURE = 6
 
 
 def differences(size: int) -> int:
@@ -112,7 +116,7 @@ def _prints(documents: DataFrame, buckets: int) -> DataFrame:
             seen: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}
             for i, s in enumerate(sets(b.column(1))):
                 size[i] = len(s)
-                vecs.append(group_sums(s, DIMENSIONS)[1].astype(np.uint32).tobytes())
+                vecs.append(packed(group_sums(s, DIMENSIONS)[1].astype(np.uint32)))
                 if not len(s):
                     continue
                 k1[i], k2[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(tk.mix(s))
@@ -132,12 +136,12 @@ def _prints(documents: DataFrame, buckets: int) -> DataFrame:
             docs = np.repeat(np.array([x[0] for x in seen.values()], np.int64), lengths)
             kinds = np.repeat(np.array([k[1] & 0xFFFFFFFF for k in seen], np.uint32), lengths)
             to = (sigs % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((docs, to))
             sigs, docs, kinds, to = sigs[order], docs[order], kinds[order], to[order]
             at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else np.zeros(1, int)
             pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            blob = lambda x: pa.array([x[a:e].tobytes() for a, e in pairs], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(to[at[:-1]]), blob(sigs), blob(docs), blob(kinds)], names=names)
+            blob = lambda x, pack: pa.array([pack(x[a:e]) for a, e in pairs], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(to[at[:-1]]), blob(sigs, lambda x: short(x, SIGNATURE)), blob(docs, steps), blob(kinds, bytes)], names=names)
 
     names = [x.split()[0] for x in PRINT.split(", ")]
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PRINT)
@@ -148,8 +152,8 @@ GATHERED = "lid long, members binary"
 
 def _gather(table: pa.Table) -> pa.Table:
     """Of one bucket the documents that share a signature and aren't of one class."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    sigs, docs, kinds = join("sigs", np.uint64), join("docs", np.int64), join("kinds", np.uint32)
+    col = lambda name: table.column(name).to_pylist()
+    sigs, docs, kinds = long(b"".join(col("sigs")), SIGNATURE), ids_of(col("docs")), np.frombuffer(b"".join(col("kinds")), np.uint32)
     order = np.lexsort((docs, kinds, sigs))
     sigs, docs, kinds = sigs[order], docs[order], kinds[order]
     new = np.append(True, sigs[1:] != sigs[:-1]) if len(sigs) else np.empty(0, bool)
@@ -259,7 +263,7 @@ def _pairs(lists: DataFrame, choose) -> DataFrame:
 
     def run(batches):
         rest: pa.Table | None = None
-        for b in [*batches, None] if False else batches:
+        for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             lids = t.column("lid").to_numpy()
             if not len(lids):
@@ -274,7 +278,7 @@ def _pairs(lists: DataFrame, choose) -> DataFrame:
         if not t.num_rows:
             return
         lids, docs, labels, n = (t.column(c).to_numpy() for c in ("lid", "doc", "label", "n"))
-        points = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
+        points = unpacked(t.column("vec").to_pylist(), np.uint32).reshape(-1, DIMENSIONS).astype(np.int64)
         cut = np.append(np.flatnonzero(np.append(True, lids[1:] != lids[:-1])), len(lids))
         a, b = [], []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
@@ -310,17 +314,12 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def shingled(batches):
         for b in batches:
-            blobs = [(s >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for s in sets(b.column(4))]
+            blobs = [short(s, 7) for s in sets(b.column(4))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(blobs, pa.binary())], names=["home", "salt", "is_home", "doc", "shingles"])
 
     sent = docs.join(wanted, F.col("doc_id") == F.col("__id")).select("home", "salt", "is_home", "doc_id", "text").mapInArrow(shingled, SENT)
     sent = sent.repartition("home", "salt").sortWithinPartitions("home", "salt", F.desc("is_home"))
 
-    def whole(blob: bytes) -> np.ndarray:
-        out = np.zeros((len(blob) // 7, 8), np.uint8)
-        out[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
-        return out.view(np.uint64).ravel()
-
     def compare(batches):
         key, homes = None, []
         for b in batches:
@@ -328,7 +327,7 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
             for home, salt, is_home, doc, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (home, salt) != key:
                     key, homes = (home, salt), []
-                s = whole(blob)
+                s = long(blob, 7)
                 if is_home:
                     homes.append(s)
                     continue
@@ -355,16 +354,21 @@ def components(documents: DataFrame) -> DataFrame:
     points = prints.where("doc_id is not null and n > 0").select("doc_id", "n", "vec").distinct()
     members = saved(_explode(lists).join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "n", "vec"))
     alone = members.withColumn("label", F.col("doc"))
-    links = saved(_verified(documents, saved(_pairs(alone, central_pairs))))
+    tested = saved(_pairs(alone, central_pairs))
+    links = saved(_verified(documents, tested))
     labels = least_labels(links)
     for most in ROUNDS:
         now = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
         open_ = now.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
-        found = saved(_pairs(now.join(open_, "lid"), lambda d, p, n, g, most=most: crossing_pairs(d, p, n, g, most)))
+        found = _pairs(now.join(open_, "lid"), lambda d, p, n, g, most=most: crossing_pairs(d, p, n, g, most))
+        found = saved(found.join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
-            break
-        links = links.unionByName(_verified(documents, found))
-        labels = least_labels(links)
+            continue
+        more = saved(_verified(documents, found))
+        tested = tested.unionByName(found)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = least_labels(links)
     classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, F.col("least") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "least").alias("label"))
     out = prints.join(classes, (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
