@@ -1,4 +1,440 @@
-"""The queries over the change log, by name."""
+"""The queries over the change log, by name, and DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tideline.functions import codec
+from tideline.functions.crc64 import crc64_column
+from tideline.operators import clock, discovery, lease, replica, segments, state, watch
+from tideline.sources import log as logs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+#: Parameters of the queries, the same here and in SQL.
+AFTER, MOST, PREFIX, TTL, CAP, BATCH, SNAPSHOT = 100, 500, "users/1", 21_600_000, 4096, 256, 600
+
+LOG_SQL = """
+log_rows AS (
+  SELECT event_id, ts, user_id, event_type, props, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+), change_log AS (
+  SELECT event_id + 1 AS seq, event_id + 1 AS revision,
+    epoch_us(ts) // 1000 - CASE WHEN event_id % 3 = 1 THEN 259200000 ELSE 0 END AS phys_ms,
+    CAST(event_id % 4 AS INTEGER) AS logical, 'node-' || CAST(event_id % 3 AS VARCHAR) AS node_id,
+    CASE WHEN k % 5 = 0 THEN 'DEL' ELSE 'SET' END AS op,
+    'users/' || CAST(user_id AS VARCHAR) || '/' || event_type AS key,
+    CASE WHEN k % 5 <> 0 THEN props END AS value, epoch_us(ts) // 1000 AS now_ms
+  FROM log_rows
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY phys_ms DESC, logical DESC, node_id DESC, seq) AS rn FROM change_log
+), state AS (
+  SELECT key, value, phys_ms, logical, node_id, revision, seq FROM ranked WHERE rn = 1
+), lease_events AS (
+  SELECT seq, CAST(split_part(key, '/', 2) AS BIGINT) AS lease_id, now_ms, CAST(21600000 AS BIGINT) AS ttl_ms FROM change_log
+), leases AS (
+  SELECT lease_id, now_ms + ttl_ms AS expire_at_ms, ttl_ms FROM lease_events
+  QUALIFY row_number() OVER (PARTITION BY lease_id ORDER BY seq DESC) = 1
+), lease_now AS (SELECT max(now_ms) AS t FROM change_log),
+lease_keys AS (SELECT DISTINCT CAST(split_part(key, '/', 2) AS BIGINT) AS lease_id, key FROM change_log)
+"""
+
+
+def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{LOG_SQL} {sql}"
+        return f
+
+    return add
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return logs.change_log(spark, d)
+
+
+LOG_COLUMNS = "seq, revision, phys_ms, logical, node_id, op, key, value"
+
+
+@query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE seq > 100")
+def log_scan_after(spark, d):
+    return logs.scan_after(_log(spark, d), AFTER).select(*logs.COLUMNS)
+
+
+@query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE seq > 100 ORDER BY seq LIMIT 500")
+def log_scan_limit(spark, d):
+    return logs.scan_after(_log(spark, d), AFTER, MOST).select(*logs.COLUMNS)
+
+
+@query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE revision > 100")
+def read_after_revision(spark, d):
+    return logs.read_after(_log(spark, d), AFTER).select(*logs.COLUMNS)
+
+
+@query("SELECT event_id, event_id + 1001 AS seq, event_id + 1001 AS revision FROM events")
+def log_append(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    return logs.append(1000, rows, "event_id").select("event_id", "seq", "revision")
+
+
+@query("SELECT CASE WHEN op = 'SET' THEN 'Set' ELSE 'Delete' END AS kind, key, value, phys_ms, logical, node_id, revision, seq FROM change_log WHERE seq > 100 AND starts_with(key, 'users/1')")
+def prefix_replay(spark, d):
+    return logs.replay(_log(spark, d), AFTER, PREFIX)
+
+
+@query("SELECT * FROM state WHERE value IS NOT NULL")
+def lww_state(spark, d):
+    return state.live(state.latest(_log(spark, d)))
+
+
+@query("SELECT * FROM state")
+def export_all(spark, d):
+    return state.latest(_log(spark, d))
+
+
+@query("SELECT value FROM state WHERE key = 'users/1/click' AND value IS NOT NULL")
+def point_get(spark, d):
+    return state.get(_log(spark, d), "users/1/click")
+
+
+@query("SELECT * FROM state WHERE key = 'users/1/click'")
+def point_get_item(spark, d):
+    return state.get_item(_log(spark, d), "users/1/click")
+
+
+@query("SELECT * FROM state WHERE value IS NOT NULL AND starts_with(key, 'users/1')")
+def prefix_scan(spark, d):
+    return state.prefix_scan(_log(spark, d), PREFIX)
+
+
+@query("SELECT p.prefix, count(s.key) AS n FROM (VALUES ('users/1'), ('users/12'), ('users/2'), ('zzz')) p(prefix) LEFT JOIN (SELECT * FROM state WHERE value IS NOT NULL) s ON starts_with(s.key, p.prefix) GROUP BY p.prefix")
+def prefix_count(spark, d):
+    return state.prefix_counts(_log(spark, d), ["users/1", "users/12", "users/2", "zzz"])
+
+
+@query("SELECT s.* FROM state s JOIN (SELECT key, arg_max(op, seq) AS last_op FROM change_log GROUP BY key) l USING (key) WHERE s.value IS NOT NULL AND l.last_op = 'SET' AND starts_with(key, 'users/1')")
+def prefix_scan_arrival(spark, d):
+    return state.arrival_visible(_log(spark, d), PREFIX)
+
+
+CHANGES_SQL = "changes AS (SELECT * FROM (SELECT *, max(row(phys_ms, logical, node_id)) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM change_log) WHERE b IS NULL OR row(phys_ms, logical, node_id) > b)"
+
+
+@query(f", {CHANGES_SQL} SELECT CASE WHEN op = 'SET' THEN 'Set' ELSE 'Delete' END AS kind, key, value, phys_ms, logical, node_id, revision, seq FROM changes WHERE starts_with(key, 'users/1')")
+def watch_changes(spark, d):
+    return watch.watch_changes(_log(spark, d), PREFIX)
+
+
+WATCHES = [(1, "users/1"), (2, "users/"), (3, "users/12"), (4, "orders/"), (5, "")]
+WATCHES_SQL = "(VALUES (CAST(1 AS BIGINT), 'users/1'), (2, 'users/'), (3, 'users/12'), (4, 'orders/')) w(watch_id, prefix)"
+
+
+@query(f", {CHANGES_SQL} SELECT w.watch_id, w.prefix, c.key, c.seq FROM changes c JOIN {WATCHES_SQL} ON starts_with(c.key, w.prefix)")
+def watch_fanout(spark, d):
+    watches = spark.createDataFrame(WATCHES, "watch_id long, prefix string")
+    return watch.fan_out(state.changes(_log(spark, d)), watches).select("watch_id", "prefix", "key", "seq")
+
+
+@query(f", {CHANGES_SQL} SELECT w.watch_id, c.key, c.seq FROM changes c JOIN {WATCHES_SQL} ON starts_with(c.key, w.prefix) QUALIFY row_number() OVER (PARTITION BY w.watch_id ORDER BY c.seq DESC) <= 16")
+def watch_buffer(spark, d):
+    watches = spark.createDataFrame(WATCHES, "watch_id long, prefix string")
+    return watch.newest(watch.fan_out(state.changes(_log(spark, d)), watches), "watch_id", 16).select("watch_id", "key", "seq")
+
+
+def cas_requests(log: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key").orderBy("seq")
+    expected = F.coalesce(F.when(F.col("seq") % 3 == 0, F.lag("seq", 1).over(w)).otherwise(F.lag("seq", 2).over(w)), F.lit(0))
+    return log.select(F.col("seq").alias("req_seq"), "key", expected.alias("expected"), "op", "value", *state.STAMP, "revision")
+
+
+CAS_SQL = """, requests AS (
+  SELECT seq AS req_seq, key, op, coalesce(CASE WHEN seq % 3 = 0 THEN lag(seq, 1) OVER w ELSE lag(seq, 2) OVER w END, 0) AS expected, row_number() OVER w AS rn
+  FROM change_log WINDOW w AS (PARTITION BY key ORDER BY seq)
+), folded AS (
+  SELECT req_seq, key, op, expected, rn, expected = 0 AS accepted, CASE WHEN expected = 0 THEN req_seq ELSE 0 END AS cur FROM requests WHERE rn = 1
+  UNION ALL
+  SELECT r.req_seq, r.key, r.op, r.expected, r.rn, r.expected = f.cur, CASE WHEN r.expected = f.cur THEN r.req_seq ELSE f.cur END
+  FROM folded f JOIN requests r ON r.key = f.key AND r.rn = f.rn + 1
+)"""
+
+
+@query(f"{CAS_SQL} SELECT req_seq, key, expected, op, accepted, CASE WHEN accepted THEN req_seq END AS revision FROM folded", recursive=True)
+def cas_set(spark, d):
+    return state.compare_and_set(cas_requests(_log(spark, d)))
+
+
+@query(f"{CAS_SQL} SELECT f.req_seq, f.key, c.phys_ms FROM folded f JOIN change_log c ON c.seq = f.req_seq WHERE f.accepted AND f.op = 'DEL'", recursive=True)
+def cas_delete(spark, d):
+    return state.cas_log(cas_requests(_log(spark, d))).where("op = 'DEL'").select("req_seq", "key", "phys_ms")
+
+
+HLC_SQL = ", p AS (SELECT *, max(phys_ms) OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hlc_phys FROM change_log), hlc AS (SELECT *, CAST(row_number() OVER (PARTITION BY node_id, hlc_phys ORDER BY seq) - 1 AS INTEGER) AS hlc_logical FROM p)"
+
+
+@query(f"{HLC_SQL} SELECT seq, node_id, hlc_phys, hlc_logical FROM hlc")
+def hlc_next_local(spark, d):
+    return clock.next_local(_log(spark, d), "phys_ms", "node_id", "seq").select("seq", "node_id", "hlc_phys", "hlc_logical")
+
+
+@query(f"{HLC_SQL} SELECT node_id, arg_max(hlc_phys, seq) AS hlc_phys, arg_max(hlc_logical, seq) AS hlc_logical FROM hlc GROUP BY node_id")
+def hlc_last(spark, d):
+    return clock.last(clock.next_local(_log(spark, d), "phys_ms", "node_id", "seq"), "node_id")
+
+
+def _received(log: DataFrame) -> DataFrame:
+    has = F.col("seq") % 2 == 0
+    return log.withColumn("remote_phys", F.when(has, F.col("phys_ms") + (F.col("seq") % 7 - 3) * 1000)).withColumn("remote_logical", F.when(has, (F.col("seq") % 5).cast("int")))
+
+
+@query(
+    """, r AS (SELECT *, CASE WHEN seq % 2 = 0 THEN phys_ms + (seq % 7 - 3) * 1000 END AS rp, CASE WHEN seq % 2 = 0 THEN CAST(seq % 5 AS INTEGER) END AS rl FROM change_log),
+    p AS (SELECT *, max(greatest(phys_ms, coalesce(rp, phys_ms))) OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hlc_phys FROM r),
+    i AS (SELECT *, row_number() OVER (PARTITION BY node_id, hlc_phys ORDER BY seq) - 1 AS i FROM p),
+    x AS (SELECT *, CASE WHEN rp = hlc_phys AND i = 0 THEN greatest(rl, -1) WHEN rp = hlc_phys THEN rl WHEN i = 0 THEN -1 END AS x FROM i)
+    SELECT seq, node_id, hlc_phys, CAST(i + max(x - i + 1) OVER (PARTITION BY node_id, hlc_phys ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INTEGER) AS hlc_logical FROM x"""
+)
+def hlc_on_receive(spark, d):
+    return clock.on_receive(_received(_log(spark, d)), "phys_ms", "remote_phys", "remote_logical", "node_id", "seq").select("seq", "node_id", "hlc_phys", "hlc_logical")
+
+
+@query(f"{HLC_SQL}, o AS (SELECT seq, lag(row(phys_ms, logical, node_id)) OVER (PARTITION BY key ORDER BY seq) AS b, row(phys_ms, logical, node_id) AS a, CAST(phys_ms AS VARCHAR) || ':' || CAST(logical AS VARCHAR) || ':' || node_id AS rendered FROM change_log) SELECT seq, rendered, a > b AS later FROM o")
+def hlc_order(spark, d):
+    before = F.lag(state.stamp()).over(Window.partitionBy("key").orderBy("seq"))
+    return _log(spark, d).select("seq", clock.rendered("phys_ms", "logical", "node_id").alias("rendered"), (state.stamp() > before).alias("later"))
+
+
+def _leases(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    log = _log(spark, d)
+    return log, lease.latest_leases(lease.lease_events(log, TTL)), log.agg(F.max("now_ms")).first()[0] or 0
+
+
+def _lease_keys(log: DataFrame) -> DataFrame:
+    return lease.attached(log.select(F.split("key", "/")[1].cast("long").alias("lease_id"), "key"))
+
+
+@query("SELECT l.* FROM leases l, lease_now WHERE expire_at_ms > t")
+def lease_active_at(spark, d):
+    _, leases, now = _leases(spark, d)
+    return lease.active_at(leases, now)
+
+
+@query("SELECT l.* FROM leases l, lease_now WHERE expire_at_ms <= t")
+def lease_renew_expired(spark, d):
+    _, leases, now = _leases(spark, d)
+    return lease.expired_at(leases, now)
+
+
+@query("SELECT seq, lease_id, coalesce(now_ms < lag(now_ms + ttl_ms) OVER (PARTITION BY lease_id ORDER BY seq), false) AS alive, now_ms + ttl_ms AS expire_at_ms FROM lease_events")
+def lease_keepalive(spark, d):
+    return lease.keepalives(lease.lease_events(_log(spark, d), TTL))
+
+
+@query(", n AS (SELECT *, CASE WHEN now_ms < lag(now_ms + ttl_ms) OVER (PARTITION BY lease_id ORDER BY seq) THEN 0 ELSE 1 END AS new FROM lease_events), s AS (SELECT *, sum(new) OVER (PARTITION BY lease_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM n) SELECT lease_id, CAST(session AS BIGINT) AS session, min(now_ms) AS start_ms, arg_max(now_ms + ttl_ms, seq) AS end_ms, count(*) AS n_events FROM s GROUP BY lease_id, session")
+def lease_sessions(spark, d):
+    return lease.sessions(lease.lease_events(_log(spark, d), TTL))
+
+
+def _mixed_events(log: DataFrame) -> DataFrame:
+    kind = F.when(F.col("seq") % 11 == 0, "release").when(F.col("seq") % 7 == 0, "renew").when(F.col("seq") % 5 == 0, "create").otherwise("keepalive")
+    ttl = F.when((F.col("seq") % 3 == 0) & (kind == "keepalive"), F.lit(None)).otherwise(F.lit(TTL) * (1 + F.col("seq") % 4)).cast("long")
+    return log.select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), kind.alias("kind"), "now_ms", ttl.alias("ttl_ms"))
+
+
+@query(
+    """, m AS (SELECT seq, lease_id, now_ms, CASE WHEN seq % 11 = 0 THEN 'release' WHEN seq % 7 = 0 THEN 'renew' WHEN seq % 5 = 0 THEN 'create' ELSE 'keepalive' END AS kind, 21600000 * (1 + seq % 4) AS t FROM lease_events),
+    e AS (SELECT seq, lease_id, now_ms, kind, CASE WHEN seq % 3 = 0 AND kind = 'keepalive' THEN NULL ELSE t END AS ttl_ms, row_number() OVER (PARTITION BY lease_id ORDER BY seq) AS rn FROM m),
+    f AS (
+      SELECT seq, lease_id, now_ms, kind, rn, kind = 'create' AS ok, CASE WHEN kind = 'create' THEN now_ms + ttl_ms END AS x, CASE WHEN kind = 'create' THEN ttl_ms END AS ttl FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.seq, e.lease_id, e.now_ms, e.kind, e.rn,
+        CASE e.kind WHEN 'create' THEN true WHEN 'keepalive' THEN coalesce(f.x > e.now_ms, false) ELSE f.x IS NOT NULL END,
+        CASE e.kind WHEN 'create' THEN e.now_ms + e.ttl_ms WHEN 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN e.now_ms + coalesce(e.ttl_ms, f.ttl) END WHEN 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.now_ms + e.ttl_ms END END,
+        CASE e.kind WHEN 'create' THEN e.ttl_ms WHEN 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN coalesce(e.ttl_ms, f.ttl) END WHEN 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.ttl_ms END END
+      FROM f JOIN e ON e.lease_id = f.lease_id AND e.rn = f.rn + 1)
+    SELECT lease_id, seq, kind, now_ms, ok, x AS expire_at_ms FROM f""",
+    recursive=True,
+)
+def lease_lifecycle(spark, d):
+    return lease.folded(_mixed_events(_log(spark, d)))
+
+
+@query("SELECT * FROM lease_keys")
+def lease_keys(spark, d):
+    return _lease_keys(_log(spark, d))
+
+
+def _attach_events(log: DataFrame) -> DataFrame:
+    return log.select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), "key", F.when(F.col("op") == "SET", "attach").otherwise("detach").alias("op"))
+
+
+@query("SELECT CAST(split_part(key, '/', 2) AS BIGINT) AS lease_id, key FROM change_log GROUP BY key HAVING arg_max(op, seq) = 'SET'")
+def lease_detach(spark, d):
+    return lease.detached(_attach_events(_log(spark, d)))
+
+
+@query("SELECT lease_id, key, lease_id = 1 AS taken FROM lease_keys")
+def lease_take(spark, d):
+    taken, rest = lease.take(_lease_keys(_log(spark, d)), 1)
+    return taken.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False)))
+
+
+@query(", gone AS (SELECT key FROM lease_keys JOIN leases USING (lease_id), lease_now WHERE expire_at_ms <= t) SELECT s.key, CASE WHEN g.key IS NULL THEN s.value END AS value FROM state s LEFT JOIN gone g USING (key)")
+def lease_expiry_cascade(spark, d):
+    log, leases, now = _leases(spark, d)
+    return lease.cascade(log, leases, _lease_keys(log), now).select("key", "value")
+
+
+EXPORT_SQL = "e AS (SELECT l.lease_id, l.expire_at_ms, l.ttl_ms, string_agg(k.key, ',' ORDER BY k.key) AS keys FROM leases l JOIN lease_keys k USING (lease_id), lease_now WHERE l.expire_at_ms > t GROUP BY l.lease_id, l.expire_at_ms, l.ttl_ms)"
+
+
+@query(f", {EXPORT_SQL} SELECT * FROM e")
+def lease_snapshot_export(spark, d):
+    log, leases, now = _leases(spark, d)
+    return lease.exported(leases, _lease_keys(log), now).withColumn("keys", F.array_join("keys", ","))
+
+
+@query(f", {EXPORT_SQL} SELECT e.lease_id, e.expire_at_ms, k.key, (SELECT max(lease_id) + 1 FROM e) AS next_id FROM e JOIN lease_keys k USING (lease_id), lease_now WHERE e.expire_at_ms > t + 3600000")
+def lease_restore(spark, d):
+    log, leases, now = _leases(spark, d)
+    alive, keys, next_id = lease.restored(lease.exported(leases, _lease_keys(log), now), now + 3_600_000)
+    return alive.join(keys, "lease_id").crossJoin(next_id).select("lease_id", "expire_at_ms", "key", "next_id")
+
+
+@query("SELECT c.seq, c.key, c.value FROM change_log c JOIN leases l ON l.lease_id = CAST(split_part(c.key, '/', 2) AS BIGINT), lease_now WHERE l.expire_at_ms > c.now_ms + 86400000 AND c.op = 'SET'")
+def put_ephemeral(spark, d):
+    log, leases, _ = _leases(spark, d)
+    puts = log.where("op = 'SET'").select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), "key", "value", (F.col("now_ms") + 86_400_000).alias("now_ms"))
+    return lease.put_ephemeral(puts, leases).select("seq", "key", "value")
+
+
+def _records(log: DataFrame) -> DataFrame:
+    return log.select("seq", (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + segments.OVERHEAD).cast("long").alias("bytes"))
+
+
+SEGMENTS_SQL = """, rec AS (SELECT seq, strlen(key) + coalesce(strlen(value), 0) + 20 AS b FROM change_log),
+fold AS (
+  SELECT seq, b AS size, CAST(1 AS BIGINT) AS segment_id, b FROM rec WHERE seq = 1
+  UNION ALL
+  SELECT r.seq, CASE WHEN f.size + r.b > 4096 THEN r.b ELSE f.size + r.b END, CASE WHEN f.size + r.b > 4096 THEN f.segment_id + 1 ELSE f.segment_id END, r.b
+  FROM fold f JOIN rec r ON r.seq = f.seq + 1
+), segs AS (SELECT segment_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM fold GROUP BY segment_id)"""
+
+
+def _segments(spark, d) -> DataFrame:
+    return segments.rotated(_records(_log(spark, d)), CAP)
+
+
+@query(f"{SEGMENTS_SQL} SELECT * FROM segs", recursive=True)
+def segment_stats(spark, d):
+    return _segments(spark, d)
+
+
+@query(f"{SEGMENTS_SQL} SELECT * FROM segs WHERE last_seq > 600", recursive=True)
+def segment_prune(spark, d):
+    return segments.pruned(_segments(spark, d), SNAPSHOT)
+
+
+@query(f"{SEGMENTS_SQL} SELECT * FROM segs WHERE last_seq > 600 OR segment_id = (SELECT max(segment_id) FROM segs)", recursive=True)
+def segment_gc(spark, d):
+    return segments.collected(_segments(spark, d), SNAPSHOT)
+
+
+@query("SELECT * FROM state")
+def snapshot_plus_tail(spark, d):
+    log = _log(spark, d)
+    snapshot = state.latest(log.where(F.col("seq") <= SNAPSHOT))
+    return replica.with_snapshot(snapshot, log.where(F.col("seq") > SNAPSHOT))
+
+
+@query("SELECT max(seq) AS last_seq, max(seq) >= 1 AND max(seq) - 600 >= 10000 AS due FROM change_log")
+def snapshot_trigger(spark, d):
+    return segments.snapshot_due(_log(spark, d), SNAPSHOT)
+
+
+@query("SELECT * FROM state")
+def replica_merge(spark, d):
+    log = _log(spark, d)
+    return replica.merged(log.where(F.col("seq") <= 700), log.where(F.col("seq") > 300))
+
+
+@query("SELECT CAST(700 AS BIGINT) AS from_revision, max(revision) AS last_revision, max(revision) > 700 AS require_snapshot FROM change_log")
+def replica_plan(spark, d):
+    log = _log(spark, d)
+    return replica.plan(log.where(F.col("seq") <= 700), log)
+
+
+@query("SELECT key, seq FROM change_log WHERE revision > 700")
+def replica_catch_up(spark, d):
+    log = _log(spark, d)
+    return replica.caught_up(log.where(F.col("seq") <= 700), log).select("key", "seq")
+
+
+@query("SELECT (revision - 101) // 256 AS batch, min(revision) - 1 AS base_revision, max(revision) AS last_revision, count(*) AS n, string_agg(key, ',' ORDER BY seq) AS keys FROM change_log WHERE revision > 100 GROUP BY 1")
+def wal_batches(spark, d):
+    rows = replica.wal_batches(_log(spark, d), AFTER, BATCH)
+    return rows.select("batch", "base_revision", "last_revision", "n", F.array_join("records.key", ",").alias("keys"))
+
+
+@query(", t AS (SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS b FROM change_log), c AS (SELECT CAST(unnest(range(0, CAST((b + 65535) // 65536 AS BIGINT))) AS INTEGER) AS chunk_index, b FROM t) SELECT chunk_index, CAST(chunk_index AS BIGINT) * 65536 AS \"offset\", least(65536, b - CAST(chunk_index AS BIGINT) * 65536) AS length FROM c")
+def snapshot_chunks(spark, d):
+    total = _log(spark, d).agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("total_bytes"))
+    return replica.snapshot_chunks(total)
+
+
+def _registry(spark, d) -> DataFrame:
+    """Suppliers as instances of their nations; every seventh one's value is cut short."""
+    s, n = spark.read.parquet(f"{d}/supplier.parquet"), spark.read.parquet(f"{d}/nation.parquet")
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("service"), F.col("s_suppkey").cast("string").alias("instance"), F.col("s_name").alias("host"), (8000 + F.col("s_suppkey") % 100).cast("int").alias("port"), F.create_map(F.lit("zone"), F.col("n_name")).alias("metadata"), F.col("s_suppkey").cast("long").alias("lease_id"))
+    out = discovery.registered(rows, TTL)
+    value = F.when(F.col("lease_id") % 7 == 0, F.expr("substring(value, 1, 20)")).otherwise(F.col("value"))
+    return out.select(F.col("lease_id").alias("seq"), F.col("lease_id").alias("revision"), F.lit(0).cast("long").alias("phys_ms"), F.lit(0).alias("logical"), F.lit("node-0").alias("node_id"), F.lit("SET").alias("op"), "key", value.alias("value"))
+
+
+REGISTRY_SQL = "registry AS (SELECT n_name AS service, CAST(s_suppkey AS VARCHAR) AS instance, s_name AS host, CAST(8000 + s_suppkey % 100 AS INTEGER) AS port, CAST(s_suppkey AS BIGINT) AS lease_id, 'services/' || n_name || '/instances/' || CAST(s_suppkey AS VARCHAR) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query(f", {REGISTRY_SQL} SELECT key, service, instance, host, port, service AS zone, lease_id FROM registry WHERE lease_id % 7 <> 0 AND service = 'GERMANY'")
+def discovery_instances(spark, d):
+    rows = discovery.instances(_registry(spark, d), "GERMANY")
+    return rows.select("key", "service", "instance", "host", "port", F.col("metadata")["zone"].alias("zone"), "lease_id")
+
+
+@query(f", {REGISTRY_SQL} SELECT key, lease_id AS revision FROM registry")
+def discovery_register(spark, d):
+    return _registry(spark, d).select("key", "revision")
+
+
+@query(f", {REGISTRY_SQL} SELECT key FROM registry WHERE lease_id % 7 <> 0 AND lease_id % 3 <> 0")
+def discovery_unregister(spark, d):
+    log = _registry(spark, d)
+    deletes = log.where("revision % 3 = 0").select((F.col("seq") + (1 << 40)).alias("seq"), (F.col("revision") + (1 << 40)).alias("revision"), F.lit(1).cast("long").alias("phys_ms"), "logical", "node_id", F.lit("DEL").alias("op"), "key", F.lit(None).cast("string").alias("value"))
+    return discovery.decoded(state.prefix_scan(log.unionByName(deletes), "services/")).select("key")
+
+
+@query(f"SELECT {LOG_COLUMNS} FROM change_log")
+def codec_roundtrip(spark, d):
+    return codec.decoded(codec.encoded(_log(spark, d)))
+
+
+@query("SELECT seq, key FROM change_log")
+def frame_roundtrip(spark, d):
+    rows = _log(spark, d).groupBy(F.floor((F.col("seq") - 1) / 64).alias("b")).agg(F.sort_array(F.collect_list(F.struct("seq", codec.framed(F.col("key").cast("binary")).alias("f")))).alias("x"))
+    rows = rows.select(F.col("x.seq").alias("seqs"), codec.unframed(F.aggregate("x.f", F.lit(b""), lambda a, b: F.concat(a, b))).alias("keys"))
+    return rows.select(F.explode(F.arrays_zip("seqs", "keys")).alias("r")).select(F.col("r.seqs").alias("seq"), F.col("r.keys").cast("string").alias("key"))
+
+
+@query("SELECT lease_id, string_agg(key, ',' ORDER BY key) AS keys, count(*) AS n FROM lease_keys GROUP BY lease_id")
+def packed_keys(spark, d):
+    packed = lease.indexed(_lease_keys(_log(spark, d))).select("lease_id", codec.packed_keys(F.col("keys").cast("array<binary>")).alias("p"))
+    keys = packed.select("lease_id", codec.unpacked_keys("p").alias("k"))
+    return keys.select("lease_id", F.array_join("k", ",").alias("keys"), F.size("k").cast("long").alias("n"))
+
+
+@query()
+def record_checksums(spark, d):
+    """Checksums aren't SQL; tests hold them against the published check value and a plain loop."""
+    return codec.encoded(_log(spark, d)).select("seq", "crc", crc64_column(F.col("payload")).alias("again"), F.col("record_bytes").cast("long").alias("record_bytes"))
