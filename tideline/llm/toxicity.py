@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.llm import _tokens as tk
 
 #: Most labelled texts to learn from, by mark, and the longest of them in bytes.
-SAMPLE = {1: 2500, 0: 4500}
+SAMPLE = {1: 2000, 0: 3000}
 SAMPLE_BYTES = 8000
 THRESHOLD = 0.3
 EMPTY = 0.01
@@ -46,20 +46,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Vocabulary:
-    """The distinct words of some texts: where they stand, and their inputs to the network."""
+    """The distinct words of some texts: where they stand, and their inputs to the network.
+
+    Texts are read in slices, whose words are then brought together.
+    """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
+        parts = [self._read(part, part_offs) for _, _, part, part_offs in tk.slices(data, offs)]
+        names = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
+        names, one, index = np.unique(names, return_index=True, return_inverse=True) if len(parts) > 1 else (names, np.arange(len(names)), np.arange(len(names)))
+        self.words = (names % np.uint64(WORDS)).astype(np.int64)
+        size = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.int64)
+        grams = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+        start = np.cumsum(size) - size
+        n = size[one]
+        self.first = np.append(0, np.cumsum(n))
+        self.grams = grams[np.repeat(start[one] - self.first[:-1], n) + np.arange(int(n.sum()))]
+        self.at, before, at = np.empty(0, np.int64), 0, []
+        counts = [np.zeros(0, np.int64)]
+        for p in parts:
+            at.append(index[p[1] + before])
+            before += len(p[0])
+            counts.append(np.diff(p[4]))
+        self.at = np.concatenate(at) if at else self.at
+        self.offs = np.append(0, np.cumsum(np.concatenate(counts)))
+
+    @staticmethod
+    def _read(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of one slice: distinct words' hashes, the place of each word among them, their
+        n-grams and the number of these, and the texts' offsets in words."""
         data = tk.lower(data)
-        start, end, self.offs = tk.words(data, offs, tk.table("alnum"))
-        hashes = tk.Hashes(data) if len(data) else None
-        self.words = np.empty(0, np.int64)
-        self.at = np.empty(0, np.int64)
-        self.grams = np.empty(0, np.int64)
-        self.first = np.zeros(1, np.int64)
+        start, end, word_offs = tk.words(data, offs, tk.table("alnum"))
         if not len(start):
-            return
-        names, one, self.at = np.unique(hashes.spans(start, end), return_index=True, return_inverse=True)
-        self.words = (names % np.uint64(WORDS)).astype(np.int64)
+            return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)), word_offs
+        hashes = tk.Hashes(data)
+        names, one, at = np.unique(hashes.spans(start, end), return_index=True, return_inverse=True)
         s, e = start[one], end[one]
         parts = []
         for n in (3, 4, 5, 6):  # beginnings; a shorter word has none of this length
@@ -75,8 +96,8 @@ class Vocabulary:
         parts.append((np.arange(len(s)), names ^ np.uint64(1)))
         of = np.concatenate([p[0] for p in parts])
         order = np.argsort(of, kind="stable")
-        self.grams = (tk.mix(np.concatenate([p[1] for p in parts])[order]) % np.uint64(CHARS)).astype(np.int64)
-        self.first = np.append(0, np.cumsum(np.bincount(of, minlength=len(s))))
+        grams = (tk.mix(np.concatenate([p[1] for p in parts])[order]) % np.uint64(CHARS)).astype(np.int64)
+        return names, at, grams, np.bincount(of, minlength=len(s)), word_offs
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All windows, as rows of indices of words (-1: past the end), and their texts; and the
@@ -87,7 +108,7 @@ class Vocabulary:
         k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         at = (self.offs[:-1][doc] + k * STRIDE)[:, None] + np.arange(WINDOW)
         inside = at < self.offs[1:][doc][:, None]
-        rows = np.where(inside, self.at[np.where(inside, at, 0)], -1) if len(doc) else np.empty((0, WINDOW), np.int64)
+        rows = np.where(inside, self.at[np.where(inside, at, 0)], -1).astype(np.int32) if len(doc) else np.empty((0, WINDOW), np.int32)
         return rows, doc, np.append(0, np.cumsum(n))
 
 
@@ -265,7 +286,7 @@ def train(texts: list[str], marks: list[int], seed: int = 7, epochs: int = 8, ra
                 chosen.append(where[:-1][has] + (rng.random(len(has)) * np.diff(where)[has]).astype(np.int64))
         else:
             x = net.inputs(v)
-            got = np.concatenate([net.logits(x, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
+            got = np.concatenate([net.logits(x, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
             order = np.lexsort((-got, doc))  # each text's windows, worst first
             rank = np.arange(len(order)) - where[doc[order]]
             chosen.append(order[rank == 0])
