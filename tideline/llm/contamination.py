@@ -173,7 +173,7 @@ def _load(benchmark: DataFrame, window: int) -> list[list[tuple[str, str]]]:
         out.append(block)
         if len(out) > 8:
             raise ValueError(f"the benchmark is larger than 8 blocks of {BLOCK_BYTES} bytes; go through it in parts")
-    return out
+    return out or [[]]
 
 
 def _indexed(shared, window: int) -> list[Names]:

@@ -93,5 +93,7 @@ def quality(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHO
         F.coalesce(F.when(F.col("__twice").isNotNull(), repeated), F.lit(0)).cast("long").alias("n_repeat_words"),
         (total / F.greatest(F.lit(1), 2 * F.size("__hashes"))).alias("score"),
     )
+    # A filter on the result would be copied into every step above it, many times over; it stops here.
+    docs = docs.where(F.spark_partition_id() >= 0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
