@@ -96,14 +96,14 @@ def export_all(spark, d):
     return state.latest(_log(spark, d))
 
 
-@query("SELECT value FROM state WHERE key = 'users/1/click' AND value IS NOT NULL")
+@query("SELECT value FROM state WHERE key = 'users/10/click' AND value IS NOT NULL")
 def point_get(spark, d):
-    return state.get(_log(spark, d), "users/1/click")
+    return state.get(_log(spark, d), "users/10/click")
 
 
-@query("SELECT * FROM state WHERE key = 'users/1/click'")
+@query("SELECT * FROM state WHERE key = 'users/10/click'")
 def point_get_item(spark, d):
-    return state.get_item(_log(spark, d), "users/1/click")
+    return state.get_item(_log(spark, d), "users/10/click")
 
 
 @query("SELECT * FROM state WHERE value IS NOT NULL AND starts_with(key, 'users/1')")
@@ -397,9 +397,9 @@ def _registry(spark, d) -> DataFrame:
 REGISTRY_SQL = "registry AS (SELECT n_name AS service, CAST(s_suppkey AS VARCHAR) AS instance, s_name AS host, CAST(8000 + s_suppkey % 100 AS INTEGER) AS port, CAST(s_suppkey AS BIGINT) AS lease_id, 'services/' || n_name || '/instances/' || CAST(s_suppkey AS VARCHAR) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 
-@query(f", {REGISTRY_SQL} SELECT key, service, instance, host, port, service AS zone, lease_id FROM registry WHERE lease_id % 7 <> 0 AND service = 'GERMANY'")
+@query(f", {REGISTRY_SQL} SELECT key, service, instance, host, port, service AS zone, lease_id FROM registry WHERE lease_id % 7 <> 0 AND service = 'NATION_9'")
 def discovery_instances(spark, d):
-    rows = discovery.instances(_registry(spark, d), "GERMANY")
+    rows = discovery.instances(_registry(spark, d), "NATION_9")
     return rows.select("key", "service", "instance", "host", "port", F.col("metadata")["zone"].alias("zone"), "lease_id")
 
 
