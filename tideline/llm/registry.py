@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import chaining, chat, contamination, jaccard, mixing, quality, repeats, secrets, sharding, toxicity
+from tideline.llm import chaining, chat, contamination, jaccard, mixing, oracle, quality, repeats, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op5_toxicity, op6_quality, op7_passages, op8_chat, op9_secrets, op10_jaccard)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_contamination": oracle.CONTAMINATION, "op8_chat": oracle.CHAT, "op10_jaccard": oracle.JACCARD}
