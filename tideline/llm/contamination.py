@@ -97,11 +97,12 @@ class Names:
         return ranks
 
 
-def shard_hits(names: Names, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One shard: offsets of its words, and for each hit the word, benchmark word and length."""
+def shard_hits(names: Names, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """One shard: offsets of its words; and for each window that occurs, the words at which it
+    does, the benchmark words at which it stands, and its length."""
     data = tk.lower(data)
     start, end, word_offs = tk.words(data, offs, tk.table("alnum"))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray, int]] = []
     if len(start) and names.search:
         ranks = names.rank_words(tk.Hashes(data).spans(start, end), word_offs)
         for n, (tests, first, where) in names.search.items():
@@ -110,13 +111,15 @@ def shard_hits(names: Names, data: np.ndarray, offs: np.ndarray) -> tuple[np.nda
             suffixes = suffixes[np.argsort(keys[suffixes], kind="stable")]  # the shard's suffix array
             lo = np.searchsorted(keys[suffixes], tests, "left")
             hi = np.searchsorted(keys[suffixes], tests, "right")
-            for t in np.flatnonzero(hi > lo):
-                at, test = suffixes[lo[t] : hi[t]], where[first[t] : first[t + 1]]
-                found.append((np.repeat(at, len(test)), np.tile(test, len(at)), np.full(len(at) * len(test), n)))
+            found += [(suffixes[lo[t] : hi[t]], where[first[t] : first[t + 1]], n) for t in np.flatnonzero(hi > lo)]
+    return word_offs, found
+
+
+def expanded(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits one by one: word, benchmark word, length."""
     if not found:
-        none = np.empty(0, np.int64)
-        return word_offs, none, none, none
-    return word_offs, *(np.concatenate(x) for x in zip(*found, strict=True))
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate([np.repeat(a, len(t)) for a, t, _ in found]), np.concatenate([np.tile(t, len(a)) for a, t, _ in found]), np.concatenate([np.full(len(a) * len(t), n) for a, t, n in found])
 
 
 def longest(at: np.ndarray, test: np.ndarray, n: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,19 +138,19 @@ def judge(texts: pa.Array, blocks: list[Names]) -> tuple[np.ndarray, np.ndarray,
     data, offs = tk.buffers(texts)
     n_words, n_hit, items = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [set() for _ in range(len(texts))]
     for first, last, part, part_offs in tk.slices(data, offs):
-        marks = None
+        opened = None
         for names in blocks:
-            word_offs, at, test, n = shard_hits(names, part, part_offs)
-            if marks is None:
-                marks = np.zeros(word_offs[-1] + 1, np.int64)
+            word_offs, found = shard_hits(names, part, part_offs)
+            if opened is None:
                 opened = np.zeros(word_offs[-1] + 1, np.int64)
                 n_words[first:last] = np.diff(word_offs)
-            np.add.at(opened, at, 1)
-            np.add.at(opened, at + n, -1)
-            doc = np.searchsorted(word_offs, at, "right") - 1
-            for d, i in set(zip(doc.tolist(), names.doc[test].tolist(), strict=True)):
-                items[first + d].add(names.ids[i])
-        if marks is not None:
+            for at, test, n in found:
+                opened[at] += 1  # a window starts at a word once
+                opened[at + n] -= 1
+                ids = {names.ids[i] for i in np.unique(names.doc[test]).tolist()}
+                for d in np.unique(np.searchsorted(word_offs, at, "right") - 1).tolist():
+                    items[first + d] |= ids
+        if opened is not None:
             covered = np.append(0, np.cumsum(np.cumsum(opened)[:-1] > 0))
             n_hit[first:last] = covered[word_offs[1:]] - covered[word_offs[:-1]]
     return n_words, n_hit, items
@@ -207,7 +210,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             data, offs = tk.buffers(b.column(1))
             for first, _, part, part_offs in tk.slices(data, offs):
                 for names in blocks:
-                    word_offs, at, test, n = shard_hits(names, part, part_offs)
+                    word_offs, found = shard_hits(names, part, part_offs)
+                    at, test, n = expanded(found)
                     doc = np.searchsorted(word_offs, at, "right") - 1
                     at, test, n = longest(at, test, n, doc, names.doc[test])
                     doc, item = np.searchsorted(word_offs, at, "right") - 1, names.doc[test]
