@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,21 +32,36 @@ MOST_IDS = 2_000_000
 MIN_WORDS = 50
 
 
-def _prepared(text: Column) -> list[tuple[str, Column]]:
-    """Steps from a text to words, word hashes and n-gram buckets, each used by the next."""
-    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
-    return [
-        ("__words", words),
-        ("__hashes", F.transform("__words", lambda w: F.xxhash64(w))),
-        ("__buckets", F.transform("__hashes", lambda h, i: F.pmod(F.xxhash64(h, F.get("__hashes", i + 1)), F.lit(BUCKETS)).cast("int"))),
-        ("__singles", F.transform("__hashes", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))),
-    ]
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x computed once.  Named columns in between would be copied into one another
+    when a filter on the result is pushed down, and grow beyond what the optimizer can handle."""
+    return F.transform(F.array(x), body)[0]
 
 
-def _with(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    for name, c in steps:
-        df = df.withColumn(name, c)
-    return df
+def _hashes(text: Column) -> Column:
+    """The hashes of a text's words."""
+    return F.transform(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w))
+
+
+def _buckets(h: Column) -> Column:
+    """The buckets of words and of pairs of words; the last pair lacks its second."""
+    pairs = F.transform(h, lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(BUCKETS)).cast("int"))
+    return F.concat(pairs, F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")))
+
+
+def _repeated(h: Column) -> Column:
+    """Words in windows of three that occur twice or more.  The last two windows are short, and
+    equal to no other."""
+
+    def covered(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: F.get(s, k - 1)["w"].eqNullSafe(x["w"]) | F.get(s, k + 1)["w"].eqNullSafe(x["w"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    def of(w: Column) -> Column:
+        places = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), _let(places, covered)).otherwise(0)
+
+    return _let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), of)
 
 
 def ratios(documents: DataFrame, trusted: DataFrame) -> list[float]:
@@ -54,8 +70,7 @@ def ratios(documents: DataFrame, trusted: DataFrame) -> list[float]:
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
         ids = F.broadcast(ids)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("__trusted"), "left")
-    docs = _with(docs.select("text", F.col("__trusted").isNotNull().cast("int").alias("__good")), _prepared(F.col("text")))
-    grams = docs.select("__good", F.explode(F.concat("__buckets", "__singles")).alias("b"))
+    grams = docs.select(F.col("__trusted").isNotNull().cast("int").alias("__good"), F.explode(_let(_hashes(F.col("text")), _buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("__good").alias("target")).collect()  # one row for each bucket
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
@@ -72,28 +87,20 @@ def ratios(documents: DataFrame, trusted: DataFrame) -> list[float]:
 def quality(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: n_words, base counts, base_failed, kept and score."""
     table = F.from_json(F.lit(json.dumps(ratios(documents, trusted))), "array<double>")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.select(
-        "doc_id", "text",
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"),
-    )
-    docs = docs.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).drop("__lines")
-    docs = _with(docs, _prepared(F.col("text"))).drop("text", "__words")
-    # Windows of three; the last two are short, and equal to no other.
-    docs = docs.withColumn("__windows", F.transform("__hashes", lambda h, i: F.xxhash64(h, F.get("__hashes", i + 1), F.get("__hashes", i + 2))))
-    again = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    docs = docs.withColumn("__sorted", F.when(again, F.sort_array(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
-    docs = docs.withColumn("__twice", F.filter("__sorted", lambda x, k: (F.get("__sorted", k - 1)["w"].eqNullSafe(x["w"])) | (F.get("__sorted", k + 1)["w"].eqNullSafe(x["w"]))))
-    repeated = F.size(F.array_distinct(F.flatten(F.transform("__twice", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    total = F.aggregate(F.concat("__buckets", "__singles"), F.lit(0.0), lambda a, b: a + F.get(table, b))
-    docs = docs.select(
-        "doc_id", F.size("__hashes").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.coalesce(F.when(F.col("__twice").isNotNull(), repeated), F.lit(0)).cast("long").alias("n_repeat_words"),
-        (total / F.greatest(F.lit(1), 2 * F.size("__hashes"))).alias("score"),
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+    def measured(h: Column) -> Column:
+        total = F.aggregate(_buckets(h), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeated(h).cast("long").alias("n_repeat_words"), (total / F.greatest(F.lit(1), 2 * F.size(h))).alias("score"))
+
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _let(_hashes(text), measured).alias("m"),
+        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    # A filter on the result would be copied into every step above it, many times over; it stops here.
-    docs = docs.where(F.spark_partition_id() >= 0)
+    docs = docs.where(F.spark_partition_id() >= 0)  # always so; keeps filters on the result from computing all of it again
+    docs = docs.select("doc_id", "m.*", "word_chars", "n_symbols", "n_dup_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
