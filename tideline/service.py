@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.operators import discovery, lease, state
-from tideline.sources import log as logs
+from tideline.operators import discovery, lease, segments, state
+from tideline.sources import log as logs, snapshot
 from tideline.streaming.live import LOG
 
 LEASES = "seq long, lease_id long, kind string, now_ms long, ttl_ms long, key string"
@@ -187,3 +187,34 @@ class Store:
 
     def instances(self, service: str) -> DataFrame:
         return discovery.instances(self.log(), service)
+
+
+class Scheduler:
+    """What a store does on its own: collects leases, and writes snapshots once enough was written."""
+
+    def __init__(self, store: Store, lease_every_ms: int = 12_000, snapshot_every_ms: int = 32_000, least_records: int = 10_000):
+        self.store, self.every, self.least = store, {"lease": lease_every_ms, "snapshot": snapshot_every_ms}, least_records
+        self.next = {k: store.clock() + n for k, n in self.every.items()}
+        self.last_snapshot = 0
+
+    def run_once(self) -> list[str]:
+        """Does what is due; its names."""
+        now, done = self.store.clock(), []
+        for what, n in self.every.items():
+            if now >= self.next[what]:
+                self.next[what] = now + n
+                if what == "lease":
+                    self.store.collect_expired()
+                    done.append(what)
+                elif self.snapshot():
+                    done.append(what)
+        return done
+
+    def snapshot(self, forced: bool = False) -> str | None:
+        """Writes a snapshot if one is due, or anyway; its path."""
+        due = segments.snapshot_due(self.store.log(), self.last_snapshot, self.least, forced).first()
+        if not due["due"]:
+            return None
+        self.last_snapshot = due["last_seq"]
+        leases = self.store.leases().withColumn("ttl_ms", F.lit(0).cast("long"))
+        return snapshot.write(f"{self.store.path}/snapshots", self.store.log(), due["last_seq"], self.store.node, leases, self.store.lease_keys(), self.store.clock())
