@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tideline.functions import cbor, messages
-from tideline.functions.crc64 import crc64
+from tideline.functions.crc64 import crc64, crc64_many
 from tideline.sources import wal
 
 LEAF = st.none() | st.booleans() | st.integers(-(2**64), 2**64 - 1) | st.binary(max_size=30) | st.text(max_size=30)
@@ -81,6 +81,12 @@ def test_packed_keys(keys):
         messages.packed_key(data, len(keys))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=60), max_size=60))
+def test_checksums_together(values):
+    assert crc64_many(values).tolist() == [crc64(v) for v in values]
+
+
 def test_recovery_at_every_byte(tmp_path):
     whole = b"".join(wal.pack(i, bytes([i]) * i) for i in range(1, 6))
     ends = [e for _, _, e in wal.records(whole)]

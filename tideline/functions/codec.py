@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideline.functions import cbor, messages
-from tideline.functions.crc64 import crc64
+from tideline.functions.crc64 import crc64_many
 
 
 def encoded(log: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def encoded(log: DataFrame) -> DataFrame:
         for pdf in frames:
             value = pdf["value"].where(pdf["value"].notna(), None)
             body = [cbor.encode_record(int(r), int(p), int(c), n, o, k.encode(), None if v is None else v.encode()) for r, p, c, n, o, k, v in zip(pdf["revision"], pdf["phys_ms"], pdf["logical"], pdf["node_id"], pdf["op"], pdf["key"], value, strict=True)]
-            yield pd.DataFrame({"seq": pdf["seq"], "payload": body, "crc": [int.from_bytes(crc64(b).to_bytes(8, "big"), "big", signed=True) for b in body]})
+            yield pd.DataFrame({"seq": pdf["seq"], "payload": body, "crc": crc64_many(body).view(np.int64)})
 
     out = log.select("seq", "revision", "phys_ms", "logical", "node_id", "op", "key", "value").mapInPandas(run, "seq long, payload binary, crc long")
     return out.withColumn("record_bytes", F.octet_length("payload") + 20)

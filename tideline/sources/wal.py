@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, WriterCommitMessage
 
-from tideline.functions.crc64 import crc64
+from tideline.functions.crc64 import crc64, crc64_many
 from tideline.operators.segments import OVERHEAD, RECORD_BYTES, SEGMENT_BYTES
 
 
@@ -29,18 +29,28 @@ def pack(seq: int, payload: bytes) -> bytes:
     return struct.pack("<qi", seq, len(payload)) + payload + struct.pack("<Q", crc64(payload))
 
 
+#: Records whose checksums are made together.
+CHECKED = 1024
+
+
 def records(data: bytes) -> Iterator[tuple[int, bytes, int]]:
     """(seq, payload, end) of the sound records from the start; stops at the first that isn't."""
-    at = 0
-    while at + 12 <= len(data):
-        seq, n = struct.unpack_from("<qi", data, at)
-        if seq <= 0 or not 0 <= n <= RECORD_BYTES or at + OVERHEAD + n > len(data):
-            return
-        payload = data[at + 12 : at + 12 + n]
-        if struct.unpack_from("<Q", data, at + 12 + n)[0] != crc64(payload):
-            return
-        at += OVERHEAD + n
-        yield seq, payload, at
+    at, whole = 0, True
+    while whole:
+        held: list[tuple[int, bytes, int, int]] = []
+        while len(held) < CHECKED:
+            whole = at + 12 <= len(data)
+            seq, n = struct.unpack_from("<qi", data, at) if whole else (0, 0)
+            whole = whole and seq > 0 and 0 <= n <= RECORD_BYTES and at + OVERHEAD + n <= len(data)
+            if not whole:
+                break
+            said = struct.unpack_from("<Q", data, at + 12 + n)[0]
+            at += OVERHEAD + n
+            held.append((seq, data[at - 8 - n : at - 8], at, said))
+        for (seq, payload, end, said), crc in zip(held, crc64_many([h[1] for h in held]).tolist(), strict=True):
+            if said != crc:
+                return
+            yield seq, payload, end
 
 
 def recovered(path: str) -> tuple[int, int, int]:
