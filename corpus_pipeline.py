@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
-    return sharding.assign(docs)
+    """All documents with their shard and their slot in it, each shard in the order of the mix."""
+    return sharding.assign(docs, in_files=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -51,3 +51,17 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns[-2:] == ["shard", "slot"] and Counter(r["doc_id"] for r in got.collect()).most_common(1)[0][1] == 1
+
+
+def test_shards_follow_the_mix(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mix = corpus_pipeline.mixed(spark, docs, SF)
+    mix.write.option("maxRecordsPerFile", 300).parquet(str(tmp_path / "mixing"))
+    got = corpus_pipeline.sharded(spark, spark.read.parquet(str(tmp_path / "mixing")), SF).collect()
+    place = {r["doc_id"]: (r["slot"], r["source_rank"]) for r in mixing.schedule(docs).collect()}
+    shards = {}
+    for r in sorted(got, key=lambda r: r["slot"]):
+        shards.setdefault(r["shard"], []).append((r["slot"], place[r["doc_id"]]))
+    assert len(got) == len(place) and len(shards) == 40
+    for rows in shards.values():
+        assert [s for s, _ in rows] == list(range(len(rows))) and [p for _, p in rows] == sorted(p for _, p in rows)

@@ -70,11 +70,19 @@ def shards(documents: DataFrame, n_shards: int = SHARDS, weights: list[float] |
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def assign(documents: DataFrame, n_shards: int = SHARDS, weights: list[float] | None = None) -> DataFrame:
-    """The documents with `shard` and a gapless `slot`; columns of those names are replaced."""
+def assign(documents: DataFrame, n_shards: int = SHARDS, weights: list[float] | None = None, in_files: bool = False) -> DataFrame:
+    """The documents with `shard` and a gapless `slot`; columns of those names are replaced.
+
+    in_files: slots follow the order of the rows in the files that `documents` is read from,
+    by the number of the part, then the row; otherwise that of `numbered`.
+    """
     weights = weights or [1.0] * n_shards
     kept = [c for c in documents.columns if c not in ("shard", "slot")]
-    rows = documents.select(F.col("doc_id").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
+    rows = documents.select(F.col("doc_id").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *([F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at")] if in_files else []))
     rows = with_shard(rows, "__id", "__shard", weights)
-    rows = numbered(rows, "__shard", [F.col("__id")], "__slot")
+    if in_files:
+        part = F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("long")
+        rows = numbered(rows, "__shard", [F.col("__at")], "__slot", F.struct(F.coalesce(part, F.lit(-1)), F.col("__file")))
+    else:
+        rows = numbered(rows, "__shard", [F.col("__id")], "__slot")
     return rows.select("__row.*", F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
