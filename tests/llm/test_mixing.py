@@ -75,3 +75,22 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, None, None), (1, "a", None), (1, "a", None)], SCHEMA)
     assert mixing.schedule(df).count() == 3 and mixing.mixed(df).count() == 3
     assert mixing.schedule(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
+
+
+def test_exact_targets_over_a_long_run():
+    for n, targets in ((200_000, {"a": 0.4, "b": 0.3, "c": 0.15, "d": 0.1, "e": 0.05}), (20_000, {"big": 0.5, **{f"s{i}": 0.5 / 99 for i in range(99)}}), (5000, {f"s{i}": 1.0 for i in range(1500)})):
+        total, seen = sum(targets.values()), dict.fromkeys(targets, 0)
+        for s, block, phase, slot, release, deadline in mixing.scheduled(dict.fromkeys(targets, n), targets):
+            if phase or slot == n:
+                break
+            assert release <= slot < deadline and block == seen[s]
+            assert abs(seen[s] - slot * targets[s] / total) < 1 + 1e-6
+            seen[s] += 1
+            assert abs(seen[s] - (slot + 1) * targets[s] / total) < 1 + 1e-6
+        assert all(abs(seen[s] - n * w / total) < 1 + 1e-6 for s, w in targets.items())
+
+
+def test_many_sources(spark):
+    df = spark.range(2400).selectExpr("id as doc_id", "concat('s', id % 1200) as source", "'t' as text")
+    got = mixing.schedule(df, block_rows=1).collect()
+    assert sorted(r["slot"] for r in got) == list(range(2400)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)

@@ -3,11 +3,11 @@
 Time is a line of slots, each for one block of rows of one source.  A source
 with weight w of D gets for its block k the release floor(k D / w) and the
 deadline ceil((k + 1) D / w); earliest deadline first meets them all, so at
-every slot each source is less than one block from its share.  A schedule
-repeats after D slots: the driver makes D entries, and every row finds its slot
-from its rank by arithmetic.  When a source runs out, the rest go on under
-a new schedule with their weights scaled up; there are at most as many
-schedules as sources.
+every slot each source is less than one block from its share.  Weights are exact
+fractions and never rounded.  The driver makes one entry for each block, and
+every row finds its block's entry by its rank.  When a source runs out, the rest go
+on under a new schedule with their weights scaled up; there are as many schedules
+as sources, of any number.  A target of none or 0 counts as 1e-9.
 
 Defined results: every row is kept once; null and empty source are one source; ranks within a
 source follow a hash of the id, so they do not depend on partitions; ids that repeat are
@@ -17,13 +17,16 @@ ranked apart, in any order; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm._numbering import numbered
 
 BLOCK_ROWS = 32
-#: Slots of a schedule, and so the most sources there can be.
+#: Slots of a stretch of `plan`; no result depends on it.
 PERIOD = 1000
 
 
@@ -56,63 +59,93 @@ def edf(weights: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def plan(blocks: dict[str, int], targets: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """Rows (source, phase, first block, end, first slot, share, period, slots of a period)."""
-    done = dict.fromkeys(blocks, 0)
-    left = {s: n for s, n in blocks.items() if n}
-    out, start, phase = [], 0, 0
+def exact(targets: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    parts = {s: Fraction(w) for s, w in targets.items()}
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    return {s: int(x * scale) for s, x in parts.items()}
+
+
+def scheduled(blocks: dict[str, int], targets: dict[str, float]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline), slot by slot, by the exact weights."""
+    left = {s: n for s, n in sorted(blocks.items()) if n}
+    done, slot, phase = dict.fromkeys(left, 0), 0, 0
+    weights = exact({s: targets[s] for s in left}) if left else {}
     while left:
-        share = shares({s: targets[s] for s in left}, period)
-        slots = edf(share)
-        last = {s: (n - 1) // share[s] * period + slots[s][(n - 1) % share[s]] for s, n in left.items()}
-        end = min(last.values())  # the slot at which the first of them runs out
-        for s in sorted(left):
-            whole, rest = divmod(end + 1, period)
-            n = min(left[s], whole * share[s] + sum(x < rest for x in slots[s]))
-            if n:
-                out.append((s, phase, done[s], done[s] + n, start, share[s], period, slots[s]))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start, phase = start + end + 1, phase + 1
-    return out
+        start, total = slot, sum(weights[s] for s in left)
+        # Of each source only its next block waits: until its release, then by deadline.
+        waiting = [(start, s, 0) for s in left]
+        ready: list[tuple[int, str, int, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                release, s, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (start - (-(k + 1) * total // weights[s]), s, k, release))
+            deadline, s, k, release = heapq.heappop(ready)
+            if deadline <= slot:
+                raise AssertionError("a block missed its deadline")
+            yield s, done[s], phase, slot, release, deadline
+            slot += 1
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:  # the rest go on under a new schedule
+                del left[s]
+                break
+            heapq.heappush(waiting, (start + (k + 1) * total // weights[s], s, k + 1))
+        phase += 1
+
+
+def plan(blocks: dict[str, int], targets: dict[str, float], period: int = PERIOD) -> list[tuple]:
+    """Rows (source, phase, first block, end, first slot, share, period, slots of a period): the
+    schedule in stretches of at most `period` slots, each of one phase."""
+    out: dict[tuple, list] = {}
+    starts: dict[int, int] = {}
+    for s, block, phase, slot, _, _ in scheduled(blocks, targets):
+        start = starts.setdefault(phase, slot)
+        start += (slot - start) // period * period
+        out.setdefault((start, s), [s, phase, block, start, []])[4].append(slot - start)
+    return [(s, phase, first, first + len(x), start, len(x), period, x) for s, phase, first, start, x in out.values()]
+
+
+#: Blocks of a source in one row of the table that goes to the executors.
+CHUNK = 256
+CHUNKS = "s string, chunk long, places array<struct<phase:int,slot:long,release:long,deadline:long>>"
 
 
-PLAN = "s string, phase int, first long, end long, start long, share long, period long, slots array<int>"
+def _chunks(blocks: dict[str, int], targets: dict[str, float]) -> Iterator[tuple]:
+    held: dict[str, list] = {}
+    for s, block, *place in scheduled(blocks, targets):
+        held.setdefault(s, []).append(tuple(place))
+        if block % CHUNK == CHUNK - 1 or block == blocks[s] - 1:
+            yield s, block // CHUNK, held.pop(s)
 
 
-def _scheduled(rows: DataFrame, targets: dict[str, float] | None, alpha: float, block_rows: int, period: int) -> DataFrame:
+def _scheduled(rows: DataFrame, targets: dict[str, float] | None, alpha: float, block_rows: int) -> DataFrame:
     """rows: __s (source), __id and more; adds rank, block, phase, release, deadline and slot."""
     spark = rows.sparkSession
-    counts = {r[0]: r[1] for r in rows.groupBy("__s").count().limit(period + 1).collect()}
-    if len(counts) > period:
-        raise ValueError(f"more than {period} sources; name a longer period")
+    counts = {r[0]: r[1] for r in rows.groupBy("__s").count().collect()}
     weight = {s: float((targets or {}).get(s, 0) if targets else n**alpha) or 1e-9 for s, n in counts.items()}
-    table = plan({s: -(-n // block_rows) for s, n in counts.items()}, weight, period)
+    table = list(_chunks({s: -(-n // block_rows) for s, n in counts.items()}, weight))
     rows = numbered(rows, "__s", [F.xxhash64("__id"), F.col("__id")], "__rank")
     rows = rows.withColumn("__block", F.floor(F.col("__rank") / block_rows).cast("long"))
-    phases = F.broadcast(spark.createDataFrame(table, PLAN))  # at most period rows for each of at most period phases
-    rows = rows.join(phases, (F.col("__s") == F.col("s")) & (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("end")))
-    k = F.col("__block") - F.col("first")
-    return rows.withColumns({
-        "__slot": F.col("start") + F.expr("((__block - first) div share) * period") + F.element_at("slots", (k % F.col("share") + 1).cast("int")),
-        "__release": F.col("start") + F.expr("((__block - first) * period) div share"),
-        "__deadline": F.col("start") + F.expr("((__block - first + 1) * period + share - 1) div share"),
-    })
+    places = spark.createDataFrame(table, CHUNKS, verifySchema=False)  # about 28 bytes for each block
+    rows = rows.join(F.broadcast(places), (F.col("__s") == F.col("s")) & (F.floor(F.col("__block") / CHUNK) == F.col("chunk")))
+    rows = rows.withColumn("__at", F.element_at("places", (F.col("__block") % CHUNK + 1).cast("int")))
+    return rows.withColumns({"phase": F.col("__at.phase"), "__slot": F.col("__at.slot"), "__release": F.col("__at.release"), "__deadline": F.col("__at.deadline")}).drop("places", "__at")
 
 
 def schedule(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """Per document its place in the mix: doc_id, source, source_rank, block, phase, release, deadline, slot.
 
     targets: weight by source; without it, the count of documents to the power alpha.
+    period has no effect, for schedules are exact over their whole length.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"))
-    out = _scheduled(rows, targets, alpha, block_rows, period)
+    out = _scheduled(rows, targets, alpha, block_rows)
     return out.select(F.col("__id").alias("doc_id"), F.col("__s").alias("source"), F.col("__rank").alias("source_rank"), F.col("__block").alias("block"), "phase", F.col("__release").alias("release"), F.col("__deadline").alias("deadline"), F.col("__slot").alias("slot"))
 
 
 def mixed(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """The documents in the order of the mix, with their own columns only."""
     rows = documents.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
-    out = _scheduled(rows, targets, alpha, block_rows, period)
+    out = _scheduled(rows, targets, alpha, block_rows)
     return out.orderBy("__slot", "__rank").select("__row.*")
