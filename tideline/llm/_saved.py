@@ -16,6 +16,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks_for(df: DataFrame, each: int) -> int:
+    """How many parts of about `each` bytes df's sources make, by their sizes on disk; as many as there
+    are shuffle partitions, at least, or where the size isn't known."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts, -(-size // each)) if size < 1 << 56 else parts
+
+
 def _bit(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
