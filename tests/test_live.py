@@ -92,3 +92,41 @@ def test_store(spark, tmp_path):
 def test_lease_fold_matches_a_loop(spark):
     rows = lease.folded(_mixed_events(logs.change_log(spark, SF))).collect()
     assert len(rows) == 1000 and any(r["ok"] for r in rows)
+
+
+def test_watches_come_and_go(spark):
+    log = logs.change_log(spark, SF)
+    watches, told = live.Watches(), []
+    a, b = watches.subscribe("users/1", lambda df: told.extend(r["seq"] for r in df.collect())), watches.subscribe("users/", capacity=5)
+    watches.publish(log.where("seq <= 500"))
+    assert watches.unsubscribe(a) and not watches.unsubscribe(a)
+    watches.publish(log.where("seq > 500"), 1)
+    assert told == [r["seq"] for r in logs.replay(log, 0, "users/1").where("seq <= 500").orderBy("seq").collect()]
+    assert [r["seq"] for r in watches.take(b)] == list(range(996, 1001)) and watches.take(b) == []
+    with pytest.raises(ValueError):
+        watches.subscribe("")
+
+
+def test_reopened_store_goes_on(spark, tmp_path):
+    now = [5000]
+    s = Store(spark, str(tmp_path), clock=lambda: now[0])
+    s.set("a", "old")
+    now[0] = 4999
+    again = Store(spark, str(tmp_path), clock=lambda: now[0])
+    again.set("a", "new")
+    assert again.get("a") == "new" and len(list((tmp_path / "log").glob("*.parquet"))) <= 3
+    i = again.create_lease(100)
+    for k in range(3):
+        again.attach(i, f"k{k}")
+    now[0] += 500
+    assert again.collect_expired() == 1 and again.lease_keys().count() == 0
+    rows = again.log().where("op = 'DEL'").collect()
+    assert len(rows) == 3 and len({(r["phys_ms"], r["logical"]) for r in rows}) == 3 and again.set("z", "1") == max(r["seq"] for r in rows) + 1
+
+
+def test_puts_as_of_the_lease_in_force(spark):
+    events = spark.createDataFrame([(1, 1, "create", 0, 100), (5, 1, "create", 500, 100), (7, 1, "release", 550, None)], "seq long, lease_id long, kind string, now_ms long, ttl_ms long")
+    puts = spark.createDataFrame([(2, 1, "k", "in", 50), (3, 1, "k", "gap", 300), (6, 1, "k", "again", 540), (8, 1, "k", "late", 560), (9, 2, "k", "none", 1)], "seq long, lease_id long, key string, value string, now_ms long")
+    assert sorted(r["value"] for r in lease.put_ephemeral(puts, events).collect()) == ["again", "in"]
+    refused = spark.createDataFrame([(1, 1, "create", 0, 100), (2, 1, "keepalive", 200, 100)], "seq long, lease_id long, kind string, now_ms long, ttl_ms long")
+    assert lease.latest_leases(refused).count() == 0  # a keepalive after expiry revives nothing

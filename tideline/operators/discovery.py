@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.operators.state import prefix_scan
+from tideline.operators.state import latest, prefix_scan
 
 #: What an instance's JSON holds.
 SCHEMA = "serviceName string, instanceId string, address struct<host: string, port: int>, metadata map<string, string>, leaseId bigint, _corrupt_record string"
@@ -28,6 +28,12 @@ def registered(instances: DataFrame, ttl_ms: int) -> DataFrame:
     return rows.select(key_of(F.col("service"), F.col("instance")).alias("key"), F.to_json(body).alias("value"), "lease_id")
 
 
+def unregistered(log: DataFrame, handles: DataFrame) -> DataFrame:
+    """Of handles (key, revision) those that still hold: their key is at that revision, and is to be deleted."""
+    now = latest(log).select("key", F.col("revision").alias("__now"))
+    return handles.join(now, "key", "left").where(F.coalesce("__now", F.lit(0)) == F.col("revision")).drop("__now")
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     """Instances among rows (key, value, ...); what isn't an instance's JSON is left out."""
     rows = rows.withColumn("i", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))

@@ -1,13 +1,13 @@
 """Leases from their events, and the keys that live as long as a lease does.
 
 lease_events(seq, lease_id, kind, now_ms, ttl_ms): kind is acquire, create, keepalive, renew,
-release or revoke.  A lease is active while its expiry is later than now.
+release, revoke or put (a key written under the lease).  A lease is active while its expiry is later than now.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.operators.state import latest
 
@@ -18,15 +18,17 @@ def lease_events(log: DataFrame, ttl_ms: int) -> DataFrame:
     return log.select("seq", lease.alias("lease_id"), F.lit("keepalive").alias("kind"), "now_ms", F.lit(ttl_ms).cast("long").alias("ttl_ms"))
 
 
-FOLDED = "lease_id long, seq long, kind string, now_ms long, ok boolean, expire_at_ms long"
+FOLDED = "lease_id long, seq long, kind string, now_ms long, ok boolean, expire_at_ms long, left_ttl_ms long"
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """Every event with its outcome and the expiry it leaves behind (null: no lease).
+    """Every event with its outcome, and the expiry and ttl it leaves behind (null: no lease).
 
     acquire and create open or replace; keepalive fails, and ends the lease, once it has
     expired, and changes nothing with a ttl that isn't positive; a null ttl keeps the lease's own;
-    renew asks only that the lease exists; release and revoke end it.
+    renew asks only that the lease exists; release and revoke end it; put asks that it is active.
+
+    A lease's events depend on one another; they stream in order, with one lease's state in memory.
     """
 
     def fold(frames):
@@ -54,10 +56,12 @@ def folded(events: DataFrame) -> DataFrame:
                         ok = False
                     else:
                         expire, ttl = now + given, given
+                elif kind == "put":
+                    ok = expire is not None and expire > now
                 else:
                     ok, expire = expire is not None, None
-                out.append((i, ok, expire))
-            yield pdf.assign(ok=[x[1] for x in out], expire_at_ms=pd.array([x[2] for x in out], dtype="Int64"))[["lease_id", "seq", "kind", "now_ms", "ok", "expire_at_ms"]]
+                out.append((ok, expire, ttl if expire is not None else None))
+            yield pdf.assign(ok=[x[0] for x in out], expire_at_ms=pd.array([x[1] for x in out], dtype="Int64"), left_ttl_ms=pd.array([x[2] for x in out], dtype="Int64"))[["lease_id", "seq", "kind", "now_ms", "ok", "expire_at_ms", "left_ttl_ms"]]
 
     rows = events.select("lease_id", "seq", "kind", "now_ms", "ttl_ms").repartition("lease_id").sortWithinPartitions("lease_id", "seq")
     return rows.mapInPandas(fold, FOLDED)
@@ -81,16 +85,16 @@ def keepalives(events: DataFrame) -> DataFrame:
 
 
 def latest_leases(events: DataFrame) -> DataFrame:
-    """Each lease after its last event: lease_id, expire_at_ms, ttl_ms; ended ones left out."""
-    last = events.groupBy("lease_id").agg(F.max_by(F.struct("kind", "now_ms", "ttl_ms"), "seq").alias("e"))
-    return last.where("e.kind not in ('release', 'revoke')").select("lease_id", (F.col("e.now_ms") + F.col("e.ttl_ms")).alias("expire_at_ms"), F.col("e.ttl_ms").alias("ttl_ms"))
+    """Each lease as its events leave it: lease_id, expire_at_ms, ttl_ms; ended ones left out."""
+    last = folded(events).groupBy("lease_id").agg(F.max_by(F.struct("expire_at_ms", F.col("left_ttl_ms").alias("ttl_ms")), "seq").alias("e"))
+    return last.where("e.expire_at_ms is not null").select("lease_id", "e.*")
 
 
-def active_at(leases: DataFrame, now_ms: int) -> DataFrame:
+def active_at(leases: DataFrame, now_ms: int | Column) -> DataFrame:
     return leases.where(F.col("expire_at_ms") > now_ms)
 
 
-def expired_at(leases: DataFrame, now_ms: int) -> DataFrame:
+def expired_at(leases: DataFrame, now_ms: int | Column) -> DataFrame:
     """What a collection at this time takes; a lease renewed since is not due."""
     return leases.where(F.col("expire_at_ms") <= now_ms)
 
@@ -119,23 +123,26 @@ def restored_index(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("lease_id", F.explode("keys").alias("key"))
 
 
-def exported(leases: DataFrame, lease_keys: DataFrame, now_ms: int) -> DataFrame:
+def exported(leases: DataFrame, lease_keys: DataFrame, now_ms: int | Column) -> DataFrame:
     """Active leases that hold at least one key, with the keys."""
     return active_at(leases, now_ms).join(indexed(lease_keys), "lease_id")
 
 
-def restored(snapshot: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def restored(snapshot: DataFrame, now_ms: int | Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leases that are still active, their keys, and the next free id."""
     alive = active_at(snapshot, now_ms)
     return alive.drop("keys"), restored_index(alive), snapshot.agg((F.coalesce(F.max("lease_id"), F.lit(0)) + 1).alias("next_id"))
 
 
-def put_ephemeral(puts: DataFrame, leases: DataFrame) -> DataFrame:
-    """Puts (lease_id, key, value, now_ms, ...) whose lease is active when they come."""
-    return puts.join(leases.select("lease_id", "expire_at_ms"), "lease_id").where("expire_at_ms > now_ms").drop("expire_at_ms")
+def put_ephemeral(puts: DataFrame, events: DataFrame) -> DataFrame:
+    """Puts (seq, lease_id, key, value, now_ms) whose lease is active when they come, by its events up
+    to then; seq orders puts and events.  They are to be appended to the log, and attached."""
+    asked = puts.select("seq", "lease_id", F.lit("put").alias("kind"), "now_ms", F.lit(None).cast("long").alias("ttl_ms"))
+    ok = folded(events.select(*asked.columns).unionByName(asked)).where("kind = 'put' and ok").select("lease_id", "seq")
+    return puts.join(ok, ["lease_id", "seq"])
 
 
-def cascade(log: DataFrame, leases: DataFrame, lease_keys: DataFrame, now_ms: int, node: str = "lease") -> DataFrame:
+def cascade(log: DataFrame, leases: DataFrame, lease_keys: DataFrame, now_ms: int | Column, node: str = "lease") -> DataFrame:
     """State after the keys of expired leases have been deleted, by records newer than the log's."""
     gone = expired_at(leases, now_ms).join(attached(lease_keys), "lease_id").select("key").distinct()
     deletes = gone.select(F.lit(1 << 62).alias("seq"), F.lit(1 << 62).alias("revision"), F.lit(now_ms).cast("long").alias("phys_ms"), F.lit(1 << 30).alias("logical"), F.lit(node).alias("node_id"), F.lit("DEL").alias("op"), "key", F.lit(None).cast("string").alias("value"))

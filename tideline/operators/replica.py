@@ -21,8 +21,8 @@ def merged(*logs: DataFrame) -> DataFrame:
 
 def caught_up(follower: DataFrame, leader: DataFrame) -> DataFrame:
     """What a follower lacks: nothing, a log suffix, or a snapshot first (see plan)."""
-    at = follower.agg(F.coalesce(F.max("revision"), F.lit(0)).alias("at"))
-    return leader.join(F.broadcast(at), F.col("revision") > F.col("at")).drop("at")
+    at = follower.agg(F.coalesce(F.max("revision"), F.lit(0)).alias("at")).scalar()
+    return leader.where(F.col("revision") > at)
 
 
 def plan(follower: DataFrame, leader: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,8 +55,13 @@ def collected(segments: DataFrame, least_seq: int) -> DataFrame:
 
 def manifest(segments: DataFrame, cap: int = SEGMENT_BYTES) -> str:
     """The log's JSON side file."""
-    r = segments.agg(F.max("segment_id"), F.max("last_seq")).first()
-    return json.dumps({"CurrentSegmentId": r[0] or 0, "LastSeq": r[1] or 0, "SegmentSizeBytes": cap})
+    return manifest_row(segments, cap).first()["manifest"]
+
+
+def manifest_row(segments: DataFrame, cap: int = SEGMENT_BYTES) -> DataFrame:
+    """One row with the JSON of the side file."""
+    last = lambda c: F.coalesce(F.max(c), F.lit(0).cast("long"))
+    return segments.agg(F.to_json(F.struct(last("segment_id").alias("CurrentSegmentId"), last("last_seq").alias("LastSeq"), F.lit(cap).alias("SegmentSizeBytes"))).alias("manifest"))
 
 
 def snapshot_due(log: DataFrame, last_snapshot_seq: int, every: int = 10_000, forced: bool = False) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.sources.log import under
+from tideline.sources.log import by_prefix, under
+
+#: Prefixes that are tried one by one on each record.
+MOST_FILTERS = 64
 
 STAMP = ("phys_ms", "logical", "node_id")
 
@@ -43,12 +49,24 @@ def prefix_scan(log: DataFrame, prefix: str) -> DataFrame:
     return live(latest(log.where(under(F.col("key"), prefix)))).orderBy("key")
 
 
+def get_live_item(log: DataFrame, key: str) -> DataFrame:
+    """The whole row of a key, if it is live."""
+    return live(get_item(log, key))
+
+
 def prefix_counts(log: DataFrame, prefixes: list[str]) -> DataFrame:
-    """For each prefix the number of live keys under it."""
-    rows = live(latest(log))
-    spark = log.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(p,) for p in prefixes], "prefix string"))  # named by the caller
-    return wanted.join(rows, F.startswith("key", "prefix"), "left").groupBy("prefix").agg(F.count("key").alias("n"))
+    """For each prefix the number of live keys under it.  Few prefixes go below the aggregation."""
+    wanted = log.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(prefixes)], "prefix string")
+    if len(prefixes) <= MOST_FILTERS:
+        log = log.where(reduce(or_, (under(F.col("key"), p) for p in prefixes), F.lit(False)))
+    found = by_prefix(live(latest(log)), wanted).groupBy("prefix").agg(F.count("key").alias("n"))
+    return wanted.join(found, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def write_sorted(state: DataFrame, path: str, files: int | None = None) -> None:
+    """Writes a state so that a prefix lies in few files: ranges of keys, sorted, with their bounds."""
+    rows = state.repartitionByRange(files, "key") if files else state.repartitionByRange("key")
+    rows.sortWithinPartitions("key").write.parquet(path)
 
 
 def changes(log: DataFrame) -> DataFrame:
@@ -96,9 +114,12 @@ def compare_and_set(requests: DataFrame) -> DataFrame:
 
 
 def cas_log(requests: DataFrame) -> DataFrame:
-    """The accepted requests with their values and stamps, as records of a log."""
+    """The accepted requests with their values and stamps, as records of a log, and whether each changed
+    the state when it came (an older stamp than the key's doesn't)."""
     ok = compare_and_set(requests).where("accepted").select(F.col("req_seq").alias("__r"))
-    return requests.join(ok, F.col("req_seq") == F.col("__r")).drop("__r")
+    rows = requests.join(ok, F.col("req_seq") == F.col("__r")).drop("__r")
+    before = F.max(stamp()).over(Window.partitionBy("key").orderBy("req_seq").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("changed", F.coalesce(stamp() > before, F.lit(True)))
 
 
 def without(keys: DataFrame, removed: DataFrame) -> DataFrame:

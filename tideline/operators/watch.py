@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.operators.state import changes
-from tideline.sources.log import replay
+from tideline.sources.log import by_prefix, replay
 
 
 def watch_changes(log: DataFrame, prefix: str) -> DataFrame:
@@ -14,16 +14,14 @@ def watch_changes(log: DataFrame, prefix: str) -> DataFrame:
 
 
 def fan_out(events: DataFrame, watches: DataFrame) -> DataFrame:
-    """Events with each watch (watch_id, prefix) that they belong to; an empty prefix is no watch.
-
-    Keys are cut at each length that a prefix has, and joined with the prefixes by
-    equality, so that many watches cost no more than a few.
-    """
-    watches = watches.where("prefix <> ''")
-    lengths = watches.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # at most as many as a key has characters
-    cut = events.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("key"))))
-    cut = cut.withColumn("prefix", F.expr("substring(key, 1, n)")).drop("lengths", "n")
-    return cut.join(watches, "prefix")
+    """Events with each watch (watch_id, prefix) that they belong to; an empty prefix is no watch."""
+    return by_prefix(events, watches.where("prefix <> ''"))
+
+
+def lines(events: DataFrame) -> DataFrame:
+    """Events as server-sent text: seq, line."""
+    body = F.to_json(F.struct("kind", "key", "value", "revision"))
+    return events.select("seq", F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("line"))
 
 
 def newest(events: DataFrame, watch: str, capacity: int) -> DataFrame:

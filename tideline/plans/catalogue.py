@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tideline.functions import codec
+from tideline.functions import codec, messages
 from tideline.functions.crc64 import crc64_column
 from tideline.operators import clock, discovery, lease, replica, segments, state, watch
-from tideline.sources import log as logs
+from tideline.service import Scheduler, Store
+from tideline.sources import log as logs, replication, snapshot, wal
+from tideline.sources.shared import fresh
+from tideline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,9 +38,6 @@ log_rows AS (
   SELECT key, value, phys_ms, logical, node_id, revision, seq FROM ranked WHERE rn = 1
 ), lease_events AS (
   SELECT seq, CAST(split_part(key, '/', 2) AS BIGINT) AS lease_id, now_ms, CAST(21600000 AS BIGINT) AS ttl_ms FROM change_log
-), leases AS (
-  SELECT lease_id, now_ms + ttl_ms AS expire_at_ms, ttl_ms FROM lease_events
-  QUALIFY row_number() OVER (PARTITION BY lease_id ORDER BY seq DESC) = 1
 ), lease_now AS (SELECT max(now_ms) AS t FROM change_log),
 lease_keys AS (SELECT DISTINCT CAST(split_part(key, '/', 2) AS BIGINT) AS lease_id, key FROM change_log)
 """
@@ -106,6 +106,25 @@ def point_get_item(spark, d):
     return state.get_item(_log(spark, d), "users/10/click")
 
 
+@query("SELECT * FROM state WHERE key = 'users/10/click' AND value IS NOT NULL")
+def point_get_live_item(spark, d):
+    return state.get_live_item(_log(spark, d), "users/10/click")
+
+
+@query("SELECT * FROM state WHERE value IS NOT NULL AND starts_with(key, 'users/1')")
+def prefix_scan_sorted_files(spark, d):
+    """A state that was written by ranges of keys, whose bounds let a scan skip files."""
+    path = fresh(spark, "state")
+    state.write_sorted(state.latest(_log(spark, d)), path, 8)
+    return state.live(spark.read.parquet(path).where(logs.under(F.col("key"), PREFIX)))
+
+
+@query("SELECT key FROM state s WHERE NOT EXISTS (SELECT 1 FROM change_log c WHERE c.key = s.key AND c.op = 'DEL')")
+def key_removal(spark, d):
+    log = _log(spark, d)
+    return state.without(state.latest(log).select("key"), log.where("op = 'DEL'"))
+
+
 @query("SELECT * FROM state WHERE value IS NOT NULL AND starts_with(key, 'users/1')")
 def prefix_scan(spark, d):
     return state.prefix_scan(_log(spark, d), PREFIX)
@@ -129,6 +148,38 @@ def watch_changes(spark, d):
     return watch.watch_changes(_log(spark, d), PREFIX)
 
 
+@query(f", {CHANGES_SQL} SELECT seq, 'data: {{\"kind\":\"' || CASE WHEN op = 'SET' THEN 'Set' ELSE 'Delete' END || '\",\"key\":\"' || key || '\"' || CASE WHEN value IS NULL THEN '' ELSE ',\"value\":' || CAST(to_json(value) AS VARCHAR) END || ',\"revision\":' || CAST(revision AS VARCHAR) || '}}' || chr(10) || chr(10) AS line FROM changes WHERE starts_with(key, 'users/1')")
+def watch_lines(spark, d):
+    return watch.lines(watch.watch_changes(_log(spark, d), PREFIX))
+
+
+def _written(spark, d, parts: int = 4) -> str:
+    """The log as Parquet files in order, in a new folder."""
+    path = fresh(spark, "log")
+    _log(spark, d).repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(path)
+    return path
+
+
+@query("SELECT CASE WHEN op = 'SET' THEN 'Set' ELSE 'Delete' END AS kind, key, value, phys_ms, logical, node_id, revision, seq FROM change_log WHERE seq > 100 AND starts_with(key, 'users/1')")
+def watch_stream(spark, d):
+    """History and what follows, as a stream: its batches are written down, then read."""
+    told = fresh(spark, "told")
+    stream = live.log_stream(spark, _written(spark, d), 1)
+    live.watch(stream, PREFIX, lambda events, batch: events.write.parquet(f"{told}/batch={batch}"), fresh(spark, "watch"), AFTER).awaitTermination()
+    return spark.read.parquet(told).drop("batch")
+
+
+@query(f", {CHANGES_SQL} SELECT w.watch_id, c.key, c.seq FROM changes c JOIN (VALUES (CAST(1 AS BIGINT), 'users/1'), (3, 'users/12')) w(watch_id, prefix) ON starts_with(c.key, w.prefix) QUALIFY row_number() OVER (PARTITION BY w.watch_id ORDER BY c.seq DESC) <= 16")
+def watch_registry(spark, d):
+    """Watches with buffers that come and go over one stream; the second leaves before anything comes."""
+    watches = live.Watches()
+    ids = [watches.subscribe(p, capacity=16) for p in ("users/1", "users/2", "users/12")]
+    watches.unsubscribe(ids[1])
+    watches.publish(state.changes(_log(spark, d)))
+    rows = [(i, r["key"], r["seq"]) for i in (ids[0], ids[2]) for r in watches.take(i)]
+    return spark.createDataFrame(rows, "watch_id long, key string, seq long")
+
+
 WATCHES = [(1, "users/1"), (2, "users/"), (3, "users/12"), (4, "orders/"), (5, "")]
 WATCHES_SQL = "(VALUES (CAST(1 AS BIGINT), 'users/1'), (2, 'users/'), (3, 'users/12'), (4, 'orders/')) w(watch_id, prefix)"
 
@@ -167,9 +218,12 @@ def cas_set(spark, d):
     return state.compare_and_set(cas_requests(_log(spark, d)))
 
 
-@query(f"{CAS_SQL} SELECT f.req_seq, f.key, c.phys_ms FROM folded f JOIN change_log c ON c.seq = f.req_seq WHERE f.accepted AND f.op = 'DEL'", recursive=True)
+@query(
+    f"{CAS_SQL}, won AS (SELECT f.req_seq, f.key, f.op, c.phys_ms, row(c.phys_ms, c.logical, c.node_id) AS stamp FROM folded f JOIN change_log c ON c.seq = f.req_seq WHERE f.accepted), w AS (SELECT *, max(stamp) OVER (PARTITION BY key ORDER BY req_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM won) SELECT req_seq, key, phys_ms, b IS NULL OR stamp > b AS changed FROM w WHERE op = 'DEL'",
+    recursive=True,
+)
 def cas_delete(spark, d):
-    return state.cas_log(cas_requests(_log(spark, d))).where("op = 'DEL'").select("req_seq", "key", "phys_ms")
+    return state.cas_log(cas_requests(_log(spark, d))).where("op = 'DEL'").select("req_seq", "key", "phys_ms", "changed")
 
 
 HLC_SQL = ", p AS (SELECT *, max(phys_ms) OVER (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hlc_phys FROM change_log), hlc AS (SELECT *, CAST(row_number() OVER (PARTITION BY node_id, hlc_phys ORDER BY seq) - 1 AS INTEGER) AS hlc_logical FROM p)"
@@ -207,22 +261,46 @@ def hlc_order(spark, d):
     return _log(spark, d).select("seq", clock.rendered("phys_ms", "logical", "node_id").alias("rendered"), (state.stamp() > before).alias("later"))
 
 
-def _leases(spark, d) -> tuple[DataFrame, DataFrame, int]:
+def _mixed_events(log: DataFrame) -> DataFrame:
+    seq = F.col("seq")
+    kind = F.when(seq % 17 == 0, "revoke").when(seq % 11 == 0, "release").when(seq % 13 == 0, "acquire").when(seq % 7 == 0, "renew").when(seq % 5 == 0, "create").otherwise("keepalive")
+    ttl = F.when((seq % 3 == 0) & (kind == "keepalive"), F.lit(None)).otherwise(F.lit(TTL) * (1 + seq % 4)).cast("long")
+    return log.select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), kind.alias("kind"), "now_ms", ttl.alias("ttl_ms"))
+
+
+#: What each event of a lease finds and leaves: an event opens, prolongs if the lease is alive,
+#: renews if there is one, or ends it.
+FOLD_SQL = """, m AS (SELECT seq, lease_id, now_ms, CASE WHEN seq % 17 = 0 THEN 'revoke' WHEN seq % 11 = 0 THEN 'release' WHEN seq % 13 = 0 THEN 'acquire' WHEN seq % 7 = 0 THEN 'renew' WHEN seq % 5 = 0 THEN 'create' ELSE 'keepalive' END AS kind, 21600000 * (1 + seq % 4) AS t FROM lease_events),
+e AS (SELECT seq, lease_id, now_ms, kind, CASE WHEN seq % 3 = 0 AND kind = 'keepalive' THEN NULL ELSE t END AS ttl_ms, row_number() OVER (PARTITION BY lease_id ORDER BY seq) AS rn FROM m),
+f AS (
+  SELECT seq, lease_id, now_ms, kind, rn, kind IN ('create', 'acquire') AS ok, CASE WHEN kind IN ('create', 'acquire') THEN now_ms + ttl_ms END AS x, CASE WHEN kind IN ('create', 'acquire') THEN ttl_ms END AS ttl FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.seq, e.lease_id, e.now_ms, e.kind, e.rn,
+    CASE WHEN e.kind IN ('create', 'acquire') THEN true WHEN e.kind = 'keepalive' THEN coalesce(f.x > e.now_ms, false) ELSE f.x IS NOT NULL END,
+    CASE WHEN e.kind IN ('create', 'acquire') THEN e.now_ms + e.ttl_ms WHEN e.kind = 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN e.now_ms + coalesce(e.ttl_ms, f.ttl) END WHEN e.kind = 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.now_ms + e.ttl_ms END END,
+    CASE WHEN e.kind IN ('create', 'acquire') THEN e.ttl_ms WHEN e.kind = 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN coalesce(e.ttl_ms, f.ttl) END WHEN e.kind = 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.ttl_ms END END
+  FROM f JOIN e ON e.lease_id = f.lease_id AND e.rn = f.rn + 1),
+leases AS (SELECT lease_id, expire_at_ms, ttl_ms FROM (SELECT lease_id, arg_max(row(x, ttl), seq) AS l, l[1] AS expire_at_ms, l[2] AS ttl_ms FROM f GROUP BY lease_id) WHERE expire_at_ms IS NOT NULL)
+"""
+
+
+def _leases(spark, d) -> tuple[DataFrame, DataFrame, Column]:
+    """The log, its leases, and the time of its last event."""
     log = _log(spark, d)
-    return log, lease.latest_leases(lease.lease_events(log, TTL)), log.agg(F.max("now_ms")).first()[0] or 0
+    return log, lease.latest_leases(_mixed_events(log)), log.agg(F.max("now_ms")).scalar()
 
 
 def _lease_keys(log: DataFrame) -> DataFrame:
     return lease.attached(log.select(F.split("key", "/")[1].cast("long").alias("lease_id"), "key"))
 
 
-@query("SELECT l.* FROM leases l, lease_now WHERE expire_at_ms > t")
+@query(f"{FOLD_SQL} SELECT l.* FROM leases l, lease_now WHERE expire_at_ms > t", recursive=True)
 def lease_active_at(spark, d):
     _, leases, now = _leases(spark, d)
     return lease.active_at(leases, now)
 
 
-@query("SELECT l.* FROM leases l, lease_now WHERE expire_at_ms <= t")
+@query(f"{FOLD_SQL} SELECT l.* FROM leases l, lease_now WHERE expire_at_ms <= t", recursive=True)
 def lease_renew_expired(spark, d):
     _, leases, now = _leases(spark, d)
     return lease.expired_at(leases, now)
@@ -238,28 +316,9 @@ def lease_sessions(spark, d):
     return lease.sessions(lease.lease_events(_log(spark, d), TTL))
 
 
-def _mixed_events(log: DataFrame) -> DataFrame:
-    kind = F.when(F.col("seq") % 11 == 0, "release").when(F.col("seq") % 7 == 0, "renew").when(F.col("seq") % 5 == 0, "create").otherwise("keepalive")
-    ttl = F.when((F.col("seq") % 3 == 0) & (kind == "keepalive"), F.lit(None)).otherwise(F.lit(TTL) * (1 + F.col("seq") % 4)).cast("long")
-    return log.select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), kind.alias("kind"), "now_ms", ttl.alias("ttl_ms"))
-
-
-@query(
-    """, m AS (SELECT seq, lease_id, now_ms, CASE WHEN seq % 11 = 0 THEN 'release' WHEN seq % 7 = 0 THEN 'renew' WHEN seq % 5 = 0 THEN 'create' ELSE 'keepalive' END AS kind, 21600000 * (1 + seq % 4) AS t FROM lease_events),
-    e AS (SELECT seq, lease_id, now_ms, kind, CASE WHEN seq % 3 = 0 AND kind = 'keepalive' THEN NULL ELSE t END AS ttl_ms, row_number() OVER (PARTITION BY lease_id ORDER BY seq) AS rn FROM m),
-    f AS (
-      SELECT seq, lease_id, now_ms, kind, rn, kind = 'create' AS ok, CASE WHEN kind = 'create' THEN now_ms + ttl_ms END AS x, CASE WHEN kind = 'create' THEN ttl_ms END AS ttl FROM e WHERE rn = 1
-      UNION ALL
-      SELECT e.seq, e.lease_id, e.now_ms, e.kind, e.rn,
-        CASE e.kind WHEN 'create' THEN true WHEN 'keepalive' THEN coalesce(f.x > e.now_ms, false) ELSE f.x IS NOT NULL END,
-        CASE e.kind WHEN 'create' THEN e.now_ms + e.ttl_ms WHEN 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN e.now_ms + coalesce(e.ttl_ms, f.ttl) END WHEN 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.now_ms + e.ttl_ms END END,
-        CASE e.kind WHEN 'create' THEN e.ttl_ms WHEN 'keepalive' THEN CASE WHEN f.x > e.now_ms THEN coalesce(e.ttl_ms, f.ttl) END WHEN 'renew' THEN CASE WHEN f.x IS NOT NULL THEN e.ttl_ms END END
-      FROM f JOIN e ON e.lease_id = f.lease_id AND e.rn = f.rn + 1)
-    SELECT lease_id, seq, kind, now_ms, ok, x AS expire_at_ms FROM f""",
-    recursive=True,
-)
+@query(f"{FOLD_SQL} SELECT lease_id, seq, kind, now_ms, ok, x AS expire_at_ms FROM f", recursive=True)
 def lease_lifecycle(spark, d):
-    return lease.folded(_mixed_events(_log(spark, d)))
+    return lease.folded(_mixed_events(_log(spark, d))).drop("left_ttl_ms")
 
 
 @query("SELECT * FROM lease_keys")
@@ -282,33 +341,35 @@ def lease_take(spark, d):
     return taken.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False)))
 
 
-@query(", gone AS (SELECT key FROM lease_keys JOIN leases USING (lease_id), lease_now WHERE expire_at_ms <= t) SELECT s.key, CASE WHEN g.key IS NULL THEN s.value END AS value FROM state s LEFT JOIN gone g USING (key)")
+@query(f"{FOLD_SQL}, gone AS (SELECT key FROM lease_keys JOIN leases USING (lease_id), lease_now WHERE expire_at_ms <= t) SELECT s.key, CASE WHEN g.key IS NULL THEN s.value END AS value FROM state s LEFT JOIN gone g USING (key)", recursive=True)
 def lease_expiry_cascade(spark, d):
     log, leases, now = _leases(spark, d)
     return lease.cascade(log, leases, _lease_keys(log), now).select("key", "value")
 
 
-EXPORT_SQL = "e AS (SELECT l.lease_id, l.expire_at_ms, l.ttl_ms, string_agg(k.key, ',' ORDER BY k.key) AS keys FROM leases l JOIN lease_keys k USING (lease_id), lease_now WHERE l.expire_at_ms > t GROUP BY l.lease_id, l.expire_at_ms, l.ttl_ms)"
+EXPORT_SQL = "x AS (SELECT l.lease_id, l.expire_at_ms, l.ttl_ms, string_agg(k.key, ',' ORDER BY k.key) AS keys FROM leases l JOIN lease_keys k USING (lease_id), lease_now WHERE l.expire_at_ms > t GROUP BY l.lease_id, l.expire_at_ms, l.ttl_ms)"
 
 
-@query(f", {EXPORT_SQL} SELECT * FROM e")
+@query(f"{FOLD_SQL}, {EXPORT_SQL} SELECT * FROM x", recursive=True)
 def lease_snapshot_export(spark, d):
     log, leases, now = _leases(spark, d)
     return lease.exported(leases, _lease_keys(log), now).withColumn("keys", F.array_join("keys", ","))
 
 
-@query(f", {EXPORT_SQL} SELECT e.lease_id, e.expire_at_ms, k.key, (SELECT max(lease_id) + 1 FROM e) AS next_id FROM e JOIN lease_keys k USING (lease_id), lease_now WHERE e.expire_at_ms > t + 3600000")
+@query(f"{FOLD_SQL}, {EXPORT_SQL} SELECT x.lease_id, x.expire_at_ms, k.key, (SELECT max(lease_id) + 1 FROM x) AS next_id FROM x JOIN lease_keys k USING (lease_id), lease_now WHERE x.expire_at_ms > t + 3600000", recursive=True)
 def lease_restore(spark, d):
     log, leases, now = _leases(spark, d)
     alive, keys, next_id = lease.restored(lease.exported(leases, _lease_keys(log), now), now + 3_600_000)
     return alive.join(keys, "lease_id").crossJoin(next_id).select("lease_id", "expire_at_ms", "key", "next_id")
 
 
-@query("SELECT c.seq, c.key, c.value FROM change_log c JOIN leases l ON l.lease_id = CAST(split_part(c.key, '/', 2) AS BIGINT), lease_now WHERE l.expire_at_ms > c.now_ms + 86400000 AND c.op = 'SET'")
+@query(f"{FOLD_SQL} SELECT c.seq, c.key, c.value FROM change_log c JOIN f USING (seq) WHERE c.op = 'SET' AND f.x > c.now_ms", recursive=True)
 def put_ephemeral(spark, d):
-    log, leases, _ = _leases(spark, d)
-    puts = log.where("op = 'SET'").select("seq", F.split("key", "/")[1].cast("long").alias("lease_id"), "key", "value", (F.col("now_ms") + 86_400_000).alias("now_ms"))
-    return lease.put_ephemeral(puts, leases).select("seq", "key", "value")
+    """Each SET comes under the lease of its user, just after the event of the same place."""
+    log = _log(spark, d)
+    puts = log.where("op = 'SET'").select((2 * F.col("seq") + 1).alias("seq"), F.split("key", "/")[1].cast("long").alias("lease_id"), "key", "value", "now_ms")
+    out = lease.put_ephemeral(puts, _mixed_events(log).withColumn("seq", 2 * F.col("seq")))
+    return out.select(F.shiftright("seq", 1).alias("seq"), "key", "value")
 
 
 def _records(log: DataFrame) -> DataFrame:
@@ -333,6 +394,41 @@ def segment_stats(spark, d):
     return _segments(spark, d)
 
 
+@query(f"""{SEGMENTS_SQL} SELECT '{{"CurrentSegmentId":' || max(segment_id) || ',"LastSeq":' || max(last_seq) || ',"SegmentSizeBytes":4096}}' AS manifest FROM segs""", recursive=True)
+def segment_manifest(spark, d):
+    return segments.manifest_row(_segments(spark, d), CAP)
+
+
+def _wal(spark, d, **options) -> str:
+    """The log as binary segments in a new folder."""
+    path = fresh(spark, "wal")
+    wal.register(spark)
+    rows = codec.encoded(_log(spark, d)).select("seq", "payload").repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    rows.write.format("wal").mode("append").options(**options).save(path)
+    return path
+
+
+@query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE seq > 100")
+def wal_roundtrip(spark, d):
+    rows = spark.read.format("wal").load(_wal(spark, d, segment_bytes=65536))
+    return codec.decoded(rows.where(F.col("seq") > AFTER))
+
+
+@query("SELECT min(seq) AS first_seq, max(seq) AS last_seq, CAST(4 * 7 AS BIGINT) AS cut_bytes FROM change_log")
+def wal_recovery(spark, d):
+    """Segments that end in a torn record are cut when the folder is opened."""
+    path = _wal(spark, d)
+    for name in sorted(wal.files(path)):
+        with open(name, "ab") as f:
+            f.write(b"\x01" * 7)
+    return wal.opened(spark, path).agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.sum("cut_bytes").alias("cut_bytes"))
+
+
+@query("SELECT seq - 1 AS after_seq, seq + 2 AS next_seq FROM change_log WHERE seq % 1000 = 500 AND seq + 2 <= (SELECT max(seq) FROM change_log)")
+def log_gaps(spark, d):
+    return logs.gaps(_log(spark, d).where("seq % 1000 not in (500, 501)"))
+
+
 @query(f"{SEGMENTS_SQL} SELECT * FROM segs WHERE last_seq > 600", recursive=True)
 def segment_prune(spark, d):
     return segments.pruned(_segments(spark, d), SNAPSHOT)
@@ -350,6 +446,13 @@ def snapshot_plus_tail(spark, d):
     return replica.with_snapshot(snapshot, log.where(F.col("seq") > SNAPSHOT))
 
 
+@query("SELECT * FROM state")
+def snapshot_files(spark, d):
+    """A snapshot written as files, and the log after it."""
+    log = _log(spark, d)
+    return snapshot.load(spark, snapshot.write(fresh(spark, "snapshots"), log, SNAPSHOT), log)
+
+
 @query("SELECT max(seq) AS last_seq, max(seq) >= 1 AND max(seq) - 600 >= 10000 AS due FROM change_log")
 def snapshot_trigger(spark, d):
     return segments.snapshot_due(_log(spark, d), SNAPSHOT)
@@ -373,6 +476,45 @@ def replica_catch_up(spark, d):
     return replica.caught_up(log.where(F.col("seq") <= 700), log).select("key", "seq")
 
 
+@query("SELECT * FROM state")
+def replication_session(spark, d):
+    """A follower at revision 700 gets frames from its leader: a snapshot and batches."""
+    log = _log(spark, d).select(*logs.COLUMNS)
+    frames = replication.serve(log, *replication.greet("c", "f", "r", 700))
+    got = replication.follow(spark, frames, log.where("revision <= 700"))
+    return got.join(log.select("key", *state.STAMP, F.col("revision").alias("r"), F.col("seq").alias("s")), ["key", *state.STAMP]).groupBy("key", "value", *state.STAMP).agg(F.min("r").alias("revision"), F.min("s").alias("seq"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY min(revision)) AS BIGINT) AS frame, 'wal_batch' AS name, min(revision) - 1 AS base_revision, max(revision) AS last_revision, count(*) AS n FROM change_log WHERE revision > 100 GROUP BY (revision - 101) // 256")
+def replication_batches(spark, d):
+    """The batches among a session's frames, read back from the bytes."""
+    frames = replication.serve(_log(spark, d).select(*logs.COLUMNS), *replication.greet("c", "f", "r", AFTER))
+    read = (messages.decode(next(messages.frames(f))) for f in frames)
+    rows = [(i, name, m["base_revision"], m["last_revision"], len(m["records"])) for i, (name, m) in enumerate((x for x in read if x[0] == "wal_batch"), 1)]
+    return spark.createDataFrame(rows, "frame long, name string, base_revision long, last_revision long, n long")
+
+
+@query("SELECT seq, phys_ms, logical, node_id FROM change_log")
+def timestamp_codec(spark, d):
+    return codec.decoded_timestamps(_log(spark, d).select("seq", codec.timestamp("phys_ms", "logical", "node_id").alias("t")))
+
+
+#: The checksum of a list of bytes x, with the table that its polynomial gives.
+CRC_SQL = """, crc_bits AS (SELECT b, CAST(b AS HUGEINT) << 56 AS x, 0 AS k FROM range(256) t(b) UNION ALL
+  SELECT b, CASE WHEN x >= 9223372036854775808 THEN xor(((x - 9223372036854775808) << 1), 4823603603198064275::HUGEINT) ELSE x << 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(CAST(x AS UBIGINT) ORDER BY b) AS t FROM crc_bits WHERE k = 8)"""
+
+
+@query(
+    f"""{CRC_SQL}, v AS (SELECT seq, key || '=' || coalesce(value, '') AS said FROM change_log)
+    SELECT seq, lower(hex(list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, strlen(said) + 1), lambda i: CAST(ascii(said[i]) AS UBIGINT))), lambda a, b: xor((a & 72057594037927935::UBIGINT) << 8, t[CAST(xor(a >> 56, b) AS BIGINT) + 1])))) AS crc FROM v, crc_table""",
+    recursive=True,
+)
+def text_checksums(spark, d):
+    said = F.concat("key", F.lit("="), F.coalesce("value", F.lit("")))
+    return _log(spark, d).select("seq", F.lower(F.hex(crc64_column(said.cast("binary")))).alias("crc"))
+
+
 @query("SELECT (revision - 101) // 256 AS batch, min(revision) - 1 AS base_revision, max(revision) AS last_revision, count(*) AS n, string_agg(key, ',' ORDER BY seq) AS keys FROM change_log WHERE revision > 100 GROUP BY 1")
 def wal_batches(spark, d):
     rows = replica.wal_batches(_log(spark, d), AFTER, BATCH)
@@ -415,6 +557,59 @@ def discovery_unregister(spark, d):
     return discovery.decoded(state.prefix_scan(log.unionByName(deletes), "services/")).select("key")
 
 
+@query(f", {REGISTRY_SQL} SELECT key, CASE WHEN lease_id % 2 = 0 THEN lease_id ELSE 0 END AS revision FROM registry WHERE lease_id % 2 = 0")
+def discovery_handles(spark, d):
+    """Handles at the revision of their key may unregister it; those at another one may not."""
+    log = _registry(spark, d)
+    return discovery.unregistered(log, log.select("key", F.when(F.col("seq") % 2 == 0, F.col("revision")).otherwise(0).alias("revision")))
+
+
+STEPS = [
+    ("get_missing", None), ("set", "1"), ("get", "1"), ("cas_stale", None), ("cas", "2"), ("get_after_cas", "2"), ("delete_stale", None), ("delete", "3"), ("get_deleted", None), ("ensure", "3"),
+    ("lease", "1"), ("put_ephemeral", "True"), ("get_ephemeral", "x"), ("keep_alive", "True"), ("collect_none", "0"), ("collect", "1"), ("get_expired", None), ("keep_alive_expired", "False"),
+    ("renew", "True"), ("renew_missing", "False"), ("keys", "k2"), ("keys_again", ""), ("revoke", None), ("register", "services/svc/instances/i1"), ("instances", "1"), ("unregister", "True"), ("instances_left", "0"),
+    ("watch", "Set,Set,Delete"), ("snapshot", "True"), ("reopened", "later"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{n}', {'NULL' if v is None else repr(v)})" for i, (n, v) in enumerate(STEPS)) + ") t(step, name, outcome)")
+def service_calls(spark, d):
+    """The calls of a store's clients, one after another, with a clock that is set by hand."""
+    now, path = [1000], fresh(spark, "store")
+    s = Store(spark, path, clock=lambda: now[0])
+    out: list[tuple[str, object]] = [("get_missing", s.get("a"))]
+    r = s.set("a", "1")
+    out += [("set", r), ("get", s.get("a")), ("cas_stale", s.compare_and_set("a", r + 5, "x"))]
+    r = s.compare_and_set("a", r, "2")
+    out += [("cas", r), ("get_after_cas", s.get("a")), ("delete_stale", s.compare_and_delete("a", r - 1)), ("delete", s.compare_and_delete("a", r)), ("get_deleted", s.get("a"))]
+    s.ensure("many", "v", 3)
+    out.append(("ensure", s.by_prefix("many/").count()))
+    first = s.create_lease(100)
+    out += [("lease", first), ("put_ephemeral", s.put_ephemeral(first, "e", "x")), ("get_ephemeral", s.get("e"))]
+    now[0] += 50
+    out += [("keep_alive", s.keep_alive(first)), ("collect_none", s.collect_expired())]
+    now[0] += 100
+    out += [("collect", s.collect_expired()), ("get_expired", s.get("e")), ("keep_alive_expired", s.keep_alive(first))]
+    second = s.create_lease(1000)
+    for key in ("k1", "k2"):
+        s.attach(second, key)
+    s.detach(second, "k1")
+    out += [("renew", s.renew(second, 2000)), ("renew_missing", s.renew(77, 5)), ("keys", ",".join(s.keys_of(second))), ("keys_again", ",".join(s.keys_of(second)))]
+    s.put_ephemeral(second, "r", "y")
+    s.revoke(second)
+    out.append(("revoke", s.get("r")))
+    key, revision, _ = s.register("svc", "h", 80, 1000, "i1", {"z": "1"})
+    out += [("register", key), ("instances", s.instances("svc").count()), ("unregister", s.unregister(key, revision)), ("instances_left", s.instances("svc").count())]
+    out.append(("watch", ",".join(x["kind"] for x in s.watch("a").collect())))
+    at = Scheduler(s, least_records=5).snapshot()
+    out.append(("snapshot", sorted(map(tuple, s.load(at).collect()), key=str) == sorted(map(tuple, s.load().collect()), key=str)))
+    now[0] -= 500
+    again = Store(spark, path, clock=lambda: now[0])  # a clock that went back
+    again.set("a", "later")
+    out.append(("reopened", again.get("a")))
+    return spark.createDataFrame([(i, n, None if v is None else str(v)) for i, (n, v) in enumerate(out)], "step long, name string, outcome string")
+
+
 @query(f"SELECT {LOG_COLUMNS} FROM change_log")
 def codec_roundtrip(spark, d):
     return codec.decoded(codec.encoded(_log(spark, d)))

@@ -5,13 +5,17 @@ Writes are rows of a folder of log files; what is read is a query over it.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline.operators import discovery, lease, segments, state
 from tideline.sources import log as logs, snapshot
+from tideline.sources.log import append
+from tideline.sources.shared import exists, saved
 from tideline.streaming.live import LOG
 
 LEASES = "seq long, lease_id long, kind string, now_ms long, ttl_ms long, key string"
@@ -22,14 +26,16 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, node: str = "node-0", clock=lambda: int(time.time() * 1000)):
         self.spark, self.path, self.node, self.clock = spark, path, node, clock
-        self.phys, self.logical = 0, -1
         self._make(f"{path}/log", LOG)
         self._make(f"{path}/leases", LEASES)
-        self.seq = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        last = self.log().agg(F.max("seq").alias("seq"), F.max(F.struct("phys_ms", "logical")).alias("t")).first()
+        self.seq = last["seq"] or 0
+        self.phys, self.logical = last["t"] or (0, -1)  # time never goes back behind the log's
         self.lease_seq, self.lease_id = self.spark.read.parquet(f"{path}/leases").agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.max("lease_id"), F.lit(0))).first()
 
     def _make(self, path: str, schema: str) -> None:
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        if not exists(self.spark, path):
+            self.spark.createDataFrame([], schema).write.parquet(path)
 
     def _stamp(self) -> tuple[int, int, int]:
         now = self.clock()
@@ -46,6 +52,25 @@ class Store:
         self.spark.createDataFrame(out, LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return self.seq
 
+    def _delete_all(self, rows: DataFrame) -> int:
+        """Deletes the keys of rows (lease_id, key) and detaches them, in one write each; how many."""
+        rows = saved(rows.select("lease_id", "key"))
+        n, keys = rows.agg(F.count(F.lit(1)), F.countDistinct("key")).first()
+        if n:
+            now, phys, logical = self._stamp()
+            out = append(self.seq, rows.select("key").distinct().withColumn("at", F.xxhash64("key")), "at")
+            out = out.select("seq", "revision", F.lit(phys).cast("long").alias("phys_ms"), (F.lit(logical) + F.col("seq") - self.seq - 1).cast("int").alias("logical"), F.lit(self.node).alias("node_id"), F.lit("DEL").alias("op"), "key", F.lit(None).cast("string").alias("value"), F.lit(now).cast("long").alias("now_ms"))
+            out.write.mode("append").parquet(f"{self.path}/log")
+            self.seq, self.logical = self.seq + keys, self.logical + keys - 1
+            self._detach_all(rows, n)
+        return n
+
+    def _detach_all(self, rows: DataFrame, n: int) -> None:
+        out = append(self.lease_seq, rows.withColumn("at", F.xxhash64("lease_id", "key")), "at")
+        out = out.select("seq", "lease_id", F.lit("detach").alias("kind"), F.lit(self.clock()).cast("long").alias("now_ms"), F.lit(None).cast("long").alias("ttl_ms"), "key")
+        out.write.mode("append").parquet(f"{self.path}/leases")
+        self.lease_seq += n
+
     def _lease(self, lease_id: int, kind: str, ttl_ms: int | None = None, key: str | None = None) -> None:
         self.lease_seq += 1
         self.spark.createDataFrame([(self.lease_seq, lease_id, kind, self.clock(), ttl_ms, key)], LEASES).coalesce(1).write.mode("append").parquet(f"{self.path}/leases")
@@ -57,10 +82,8 @@ class Store:
         return self.spark.read.schema(LEASES).parquet(f"{self.path}/leases")
 
     def leases(self) -> DataFrame:
-        """lease_id and expiry as events left them; ended ones left out."""
-        rows = lease.folded(self._lease_log().where("key is null"))
-        last = rows.groupBy("lease_id").agg(F.max_by("expire_at_ms", "seq").alias("expire_at_ms"))
-        return last.where("expire_at_ms is not null")
+        """lease_id, expiry and ttl as events left them; ended ones left out."""
+        return lease.latest_leases(self._lease_log().where("key is null"))
 
     def lease_keys(self) -> DataFrame:
         events = self._lease_log().where("kind in ('attach', 'detach')")
@@ -128,7 +151,7 @@ class Store:
     def revoke(self, lease_id: int) -> None:
         """Ends a lease and deletes its keys."""
         self._lease(lease_id, "revoke")
-        self._drop_keys(self.lease_keys().where(F.col("lease_id") == lease_id))
+        self._delete_all(self.lease_keys().where(F.col("lease_id") == lease_id))
 
     def attach(self, lease_id: int, key: str) -> None:
         self._lease(lease_id, "attach", None, key)
@@ -138,9 +161,10 @@ class Store:
 
     def keys_of(self, lease_id: int) -> list[str]:
         """A lease's keys, which it then no longer has."""
-        keys = sorted(r["key"] for r in self.lease_keys().where(F.col("lease_id") == lease_id).collect())
-        for k in keys:
-            self.detach(lease_id, k)
+        rows = saved(self.lease_keys().where(F.col("lease_id") == lease_id))
+        keys = sorted(r["key"] for r in rows.collect())  # the caller asked for them
+        if keys:
+            self._detach_all(rows, len(keys))
         return keys
 
     def put_ephemeral(self, lease_id: int, key: str, value: str) -> bool:
@@ -150,22 +174,21 @@ class Store:
         self.attach(lease_id, key)
         return True
 
-    def _drop_keys(self, rows: DataFrame) -> int:
-        found = rows.select("lease_id", "key").collect()
-        if found:
-            self._write([("DEL", r["key"], None) for r in found])
-            for r in found:
-                self.detach(r["lease_id"], r["key"])
-        return len(found)
-
     def collect_expired(self) -> int:
         """Ends leases that have expired and deletes their keys; how many leases ended."""
-        gone = [r["lease_id"] for r in lease.expired_at(self.leases(), self.clock()).collect()]
-        if gone:
-            self._drop_keys(self.lease_keys().where(F.col("lease_id").isin(gone)))
-            for i in gone:
-                self._lease(i, "revoke")
-        return len(gone)
+        gone = saved(lease.expired_at(self.leases(), self.clock()).select("lease_id"))
+        n = gone.count()
+        if n:
+            self._delete_all(self.lease_keys().join(gone, "lease_id"))
+            out = append(self.lease_seq, gone, "lease_id")
+            out.select("seq", "lease_id", F.lit("revoke").alias("kind"), F.lit(self.clock()).cast("long").alias("now_ms"), F.lit(None).cast("long").alias("ttl_ms"), F.lit(None).cast("string").alias("key")).write.mode("append").parquet(f"{self.path}/leases")
+            self.lease_seq += n
+        return n
+
+    def load(self, at: str | None = None) -> DataFrame:
+        """State from the whole log, or from a snapshot and the log after it."""
+        found = snapshot.load(self.spark, at, self.log()) if at else None
+        return self.export_all() if found is None else found
 
     def watch(self, prefix: str, from_seq: int = 0) -> DataFrame:
         """The history of keys under a prefix, as a batch; streaming.live has what follows it."""
@@ -210,11 +233,27 @@ class Scheduler:
                     done.append(what)
         return done
 
+    def start(self, every_s: float = 1.0) -> Callable[[], None]:
+        """Does what is due again and again in the background, until the function that it gives is called."""
+        stopped = threading.Event()
+
+        def loop() -> None:
+            while not stopped.wait(every_s):
+                self.run_once()
+
+        thread = threading.Thread(target=loop, daemon=True)
+        thread.start()
+
+        def stop() -> None:
+            stopped.set()
+            thread.join()
+
+        return stop
+
     def snapshot(self, forced: bool = False) -> str | None:
         """Writes a snapshot if one is due, or anyway; its path."""
         due = segments.snapshot_due(self.store.log(), self.last_snapshot, self.least, forced).first()
         if not due["due"]:
             return None
         self.last_snapshot = due["last_seq"]
-        leases = self.store.leases().withColumn("ttl_ms", F.lit(0).cast("long"))
-        return snapshot.write(f"{self.store.path}/snapshots", self.store.log(), due["last_seq"], self.store.node, leases, self.store.lease_keys(), self.store.clock())
+        return snapshot.write(f"{self.store.path}/snapshots", self.store.log(), due["last_seq"], self.store.node, self.store.leases(), self.store.lease_keys(), self.store.clock())

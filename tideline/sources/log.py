@@ -6,7 +6,9 @@ DEL has no value.  seq is the place in the log and starts from 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 COLUMNS = ["seq", "revision", "phys_ms", "logical", "node_id", "op", "key", "value"]
 
@@ -38,16 +40,48 @@ def read_after(log: DataFrame, revision: int) -> DataFrame:
 
 
 def append(log_end: int, rows: DataFrame, arrival: str) -> DataFrame:
-    """Rows with seq and revision after the log's end, in order of arrival.
+    """Rows with seq and revision after the log's end, in order of arrival, then of a hash of the row.
 
-    One counter orders the whole log, so offsets are added up over partitions: rows are sorted
-    by ranges, counted by partition, and numbered within their own.
+    One counter orders the whole log, so offsets are added up over ranges of arrival: rows are
+    counted by range, and numbered within their own.  The ranges' bounds are values, so a task that runs
+    again deals rows out as before.
     """
-    ordered = rows.repartitionByRange(arrival).sortWithinPartitions(arrival).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(arrival, [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    ordered = rows.withColumn("__p", F.size(F.filter(bounds, lambda b: b <= F.col(arrival))))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    place = F.lit(log_end) + F.col("__from") + F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
-    return ordered.join(F.broadcast(starts.drop("__n")), "__p").withColumn("seq", place).withColumn("revision", F.col("seq")).drop("__p", "__i", "__from")
+    place = F.lit(log_end) + F.col("__from") + F.row_number().over(Window.partitionBy("__p").orderBy(arrival, F.xxhash64(*rows.columns)))
+    return ordered.join(F.broadcast(starts.drop("__n")), "__p").withColumn("seq", place).withColumn("revision", F.col("seq")).drop("__p", "__from")
+
+
+def gaps(log: DataFrame) -> DataFrame:
+    """Places that are missing between the first and the last: after_seq, next_seq.  A segment whose
+    tail was cut off shows up here."""
+    step = F.shiftright("seq", 16)  # stretches, whose ends are then held against each other
+    inner = F.lag("seq").over(Window.partitionBy(step).orderBy("seq"))
+    ends = log.groupBy(step.alias("s")).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    across = ends.select(F.lag("hi").over(Window.orderBy("s")).alias("after_seq"), F.col("lo").alias("next_seq"))  # a row for each stretch
+    rows = log.select(inner.alias("after_seq"), F.col("seq").alias("next_seq")).unionByName(across)
+    return rows.where("next_seq > after_seq + 1")
+
+
+def each(log: DataFrame, handler: Callable[[Iterator[Row]], None], after: int = 0) -> None:
+    """Calls handler on every partition's records after a place, in order within the partition."""
+    scan_after(log, after).foreachPartition(handler)
+
+
+def by_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Rows with each row of prefixes (prefix, ...) that their key begins with.
+
+    Keys are cut at each length that a prefix has, and joined with the prefixes by
+    equality, so that many prefixes cost no more than a few.
+    """
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # at most as many as a key has characters
+    cut = rows.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("key"))))
+    cut = cut.withColumn("prefix", F.expr("substring(key, 1, n)")).drop("lengths", "n")
+    return cut.join(prefixes, "prefix")
 
 
 def under(key: Column, prefix: str | bytes) -> Column:

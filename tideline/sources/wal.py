@@ -1,8 +1,8 @@
 """A source and sink for binary logs.
 
 A folder holds segments, each a file of records: seq (8 bytes, lowest first), length (4, lowest
-first), payload, CRC-64 of the payload (8, lowest first).  Files are named by their first
-seq and rows, and no file says more than its own records do; a scan after
+first), payload, CRC-64 of the payload (8, lowest first).  Files are named by their bounds
+and rows, and no file says more than its own records do; a scan after
 a seq skips files that end before it, by a manifest of bounds that the sink keeps.
 
 Options: path (required), segment_bytes, recover (truncate: a bad record ends its
@@ -17,6 +17,8 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, WriterCommitMessage
 
 from tideline.functions.crc64 import crc64, crc64_many
@@ -66,6 +68,34 @@ def recovered(path: str) -> tuple[int, int, int]:
     return first, last, len(data) - end
 
 
+OPENED = "segment string, first_seq long, last_seq long, cut_bytes long"
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """Goes through all segments of a folder, cuts each behind its last sound record, and says what it
+    holds: segment, first_seq, last_seq, cut_bytes.  Writing goes on behind the greatest last_seq."""
+    path = _local(path)
+
+    def run(frames):
+        for pdf in frames:
+            out = [(name, *recovered(os.path.join(path, name))) for name in pdf["segment"]]
+            yield pd.DataFrame(out, columns=["segment", "first_seq", "last_seq", "cut_bytes"])
+
+    names = [(x,) for x in sorted(os.listdir(path)) if x.endswith(".log")]
+    return spark.createDataFrame(names, "segment string").repartition(max(1, min(len(names), 1000))).mapInPandas(run, OPENED)
+
+
+def files(path: str) -> list[str]:
+    """The segments of a folder, in order."""
+    path = _local(path)
+    return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith(".log")]
+
+
+def _local(path: str) -> str:
+    """The folder as this machine sees it; it has to be mounted everywhere."""
+    return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
+
+
 class Segment(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -73,7 +103,7 @@ class Segment(InputPartition):
 
 class WalReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.recover, self.after = options["path"], options.get("recover", "truncate"), 0
+        self.path, self.recover, self.after = _local(options["path"]), options.get("recover", "truncate"), 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -110,7 +140,8 @@ class WalWriter(DataSourceWriter):
     """Segments appear when all tasks have ended: files are renamed on commit."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.cap, self.overwrite = options["path"], int(options.get("segment_bytes", SEGMENT_BYTES)), overwrite
+        self.path, self.cap, self.overwrite = _local(options["path"]), int(options.get("segment_bytes", SEGMENT_BYTES)), overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, rows) -> Written:
         os.makedirs(self.path, exist_ok=True)
@@ -128,7 +159,7 @@ class WalWriter(DataSourceWriter):
             body = pack(row["seq"], bytes(row["payload"]))
             if f is None or n and size + len(body) > self.cap:
                 close()
-                f, first, n, size = open(os.path.join(self.path, f".{uuid.uuid4().hex}.tmp"), "wb"), row["seq"], 0, 0  # noqa: SIM115
+                f, first, n, size = open(os.path.join(self.path, f".{self.job}-{uuid.uuid4().hex}.tmp"), "wb"), row["seq"], 0, 0  # noqa: SIM115
             f.write(body)
             last, n, size = row["seq"], n + 1, size + len(body)
         close()
@@ -136,26 +167,29 @@ class WalWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         os.makedirs(self.path, exist_ok=True)
-        if self.overwrite:
-            for name in os.listdir(self.path):
-                if name.endswith(".log"):
-                    os.remove(os.path.join(self.path, name))
-        for m in messages:
-            for name, first, last, n, _ in m.files if m else ():
-                os.replace(name, os.path.join(self.path, f"{first:020d}-{last:020d}-{n}.log"))
+        old = [x for x in os.listdir(self.path) if x.endswith(".log")] if self.overwrite else []
+        for i, (name, first, last, n, _) in enumerate(f for m in messages for f in (m.files if m else ())):
+            os.replace(name, os.path.join(self.path, f"{first:020d}-{last:020d}-{n}-{self.job[:8]}{i}.log"))
+        for name in old:
+            os.remove(os.path.join(self.path, name))
+        self._clear()
         names = sorted(x for x in os.listdir(self.path) if x.endswith(".log"))
         body = {"CurrentSegmentId": len(names), "LastSeq": max((int(x.split("-")[1]) for x in names), default=0), "SegmentSizeBytes": self.cap}
         with open(os.path.join(self.path, "manifest.json"), "w") as f:
             json.dump(body, f)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for name, *_ in m.files if m else ():
-                os.remove(name)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Removes what tasks of this job left that didn't end."""
+        for name in os.listdir(self.path) if os.path.isdir(self.path) else ():
+            if name.startswith(f".{self.job}-"):
+                os.remove(os.path.join(self.path, name))
 
 
 class WalSource(DataSource):
-    """spark.dataSource.register(WalSource), then format("wal")."""
+    """The format "wal", once it is registered."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,8 +205,15 @@ class WalSource(DataSource):
         return WalWriter(self.options, overwrite)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets filters on seq reach its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WalSource)
+
+
 def collect_segments(path: str, least_seq: int) -> int:
     """Deletes files that end at or before a seq, but never the last; how many went."""
+    path = _local(path)
     names = sorted(x for x in os.listdir(path) if x.endswith(".log"))
     gone = [x for x in names[:-1] if int(x.split("-")[1]) <= least_seq]
     for x in gone:

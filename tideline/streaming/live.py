@@ -7,13 +7,14 @@ configure).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tideline.sources.log import replay
+from tideline.sources.log import replay, under
 
 LOG = "seq long, revision long, phys_ms long, logical int, node_id string, op string, key string, value string, now_ms long"
 
@@ -40,6 +41,42 @@ def watch(log: DataFrame, prefix: str, told: Callable[[DataFrame, int], None], c
     return replay(log, from_seq, prefix).writeStream.foreachBatch(told).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Watches:
+    """Watches that come and go while one stream runs: give publish to foreachBatch.
+
+    A watch has a callback, which gets each batch's events in order, or a buffer; a full buffer
+    drops its oldest.
+    """
+
+    def __init__(self):
+        self.next_id, self.held = 0, {}
+
+    def subscribe(self, prefix: str, told: Callable[[DataFrame], None] | None = None, capacity: int = 16) -> int:
+        if not prefix:
+            raise ValueError("a watch needs a prefix")
+        self.next_id += 1
+        self.held[self.next_id] = (prefix, told, deque(maxlen=capacity))
+        return self.next_id
+
+    def unsubscribe(self, watch_id: int) -> bool:
+        return self.held.pop(watch_id, None) is not None
+
+    def publish(self, events: DataFrame, batch: int = 0) -> None:
+        for prefix, told, buffer in list(self.held.values()):
+            mine = events.where(under(F.col("key"), prefix))
+            if told:
+                told(mine.orderBy("seq"))
+            else:
+                buffer += reversed(mine.orderBy(F.desc("seq")).limit(buffer.maxlen).collect())
+
+    def take(self, watch_id: int) -> list:
+        """What a watch's buffer holds, which it then no longer does."""
+        buffer = self.held[watch_id][2]
+        out = list(buffer)
+        buffer.clear()
+        return out
+
+
 CHANGED = "key string, value string, phys_ms long, logical int, node_id string, revision long, seq long"
 
 
