@@ -6,12 +6,12 @@ Parquet in the folder that all executors share and read again as the next stage'
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import contamination, jaccard, mixing, sharding, toxicity
+from tideline.sources.shared import fresh
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh(spark, "pipeline")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
