@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tideline.llm import jaccard
@@ -96,3 +97,32 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == df.columns
     got = sorted(((r["doc_id"], r["a"]) for r in kept.collect()), key=str)
     assert got == sorted([(3, 2), (None, 3), (None, None), (9, 4)], key=str)
+
+
+def test_many_large_sets(spark):
+    """Sets of a thousand shingles, of which some have empty groups: no gathering holds them all."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 120, 3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        rows.append((i, " ".join(base)))
+        for k in (1, 2):
+            base[rng.randrange(1000)] = f"x{rng.randrange(10**6)}"
+            rows.append((i + k, " ".join(base[: 1000 - 5 * k])))
+    assert run(spark, rows) == brute(rows)
+    empty = [(jaccard.group_sums(s, 170)[1] == 0).sum() for s in jaccard.sets(pa.array([t for _, t in rows]))]
+    assert max(empty) > 0
+    lists = jaccard._prints(spark.createDataFrame(rows, SCHEMA), 4).where("bucket is not null").groupBy("bucket").applyInArrow(jaccard._gather, jaccard.GATHERED)
+    assert max(len(r["members"]) // 8 for r in lists.collect()) <= 3
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    got = run(spark, [(5, x), (5, y), (2, x), (9, y), (7, z), (9, z)])
+    assert {(i, c) for i, _, c in got} == {(5, 2), (2, 2), (9, 2), (7, 2)}
+
+
+def test_no_text_is_lost(spark):
+    rows = [(1, "a b c d e", 0, 0), (4, "p q r s", 1, 0), (4, "P  q r S", 1, 0), (4, "other words here", 2, 0), (4, "other words here", 2, 0)]
+    kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, __maybe int, row int"))
+    assert sorted((r["doc_id"], r["text"], r["__maybe"]) for r in kept.collect()) == [(1, "a b c d e", 0), (4, "P  q r S", 1), (4, "other words here", 2)]

@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tideline.sources.shared import saved as saved
+
 #: Bits of an id filter, whatever the number of ids.
 FILTER_BITS = 1 << 23
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that all executors share, and reads it from there on."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
-
-
 def tasks_for(df: DataFrame, each: int) -> int:
     """How many parts of about `each` bytes df's sources make, by their sizes on disk; as many as there
     are shuffle partitions, at least, or where the size isn't known."""

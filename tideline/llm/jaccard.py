@@ -4,9 +4,10 @@ A document is the set of its distinct 3-word shingles (as 64-bit hashes).
 
 1. Documents with equal sets form a class, and only classes are compared.
 2. Candidates: two sets that link differ in at most d = (|A| + |B|) / 19 shingles.  The
-   range of hashes is cut into d + 1 groups (d for the largest set of a band of
-   sizes), so linked sets agree exactly in at least one group.  Sets are
-   matched on hashes of whole groups; a set just below a band takes part in it too.
+   range of hashes is cut into d + 1 + e groups (d for the largest set of a band of
+   sizes), so linked sets agree exactly in at least 1 + e groups, of which one isn't empty if either
+   has at most e empty ones.  Sets are matched on hashes of whole groups, of empty ones only if
+   they have more than e; a set just below a band takes part in it too.
 3. Count vectors: shingles are hashed into 256 groups, a set is the point of its
    group counts.  The overlap of two sets is at most the sum of the coordinates'
    minima.  Sets that met are searched through an R-tree of these points, whose boxes give the
@@ -17,21 +18,24 @@ A document is the set of its distinct 3-word shingles (as 64-bit hashes).
    bounds first, until no untested pair could link two components.
 
 Defined results: text without words is linked with nothing; null ids take no part and get no
-component; rows that share an id are one document; fewer than 3 words are one shingle; an empty
-table gives an empty result; ties cannot arise.
+component; rows that share an id are one document, which links with whatever any of them links with;
+fewer than 3 words are one shingle; texts of any length are read whole; other columns are not looked at;
+an empty table gives an empty result; ties cannot arise.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.llm import _tokens as tk
 from tideline.llm._packing import ids_of, long, packed, short, steps, unpacked
-from tideline.llm._saved import least_labels, marked, saved
+from tideline.llm._saved import least_labels, marked, saved, tasks_for
 
 SHINGLE = 3
 #: Linked: DEN * intersection >= NUM * union.
@@ -44,6 +48,8 @@ while BANDS[-1] < 1 << 40:
     BANDS.append(-(-BANDS[-1] * 3 // 2))
 #: Members of a gathering that are searched at once; larger ones are dealt in blocks, each with each.
 BLOCK = 4096
+#: Bytes of input, about, for each bucket of signatures.
+BUCKET_BYTES = 2 << 20
 #: Best partners for a set in one round; None: all that are left.
 ROUNDS = (16, None)
 #: Bytes of a signature that travel, next to the number of its bucket.
@@ -88,6 +94,11 @@ def group_sums(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return sums[cut[1:]] - sums[cut[:-1]], np.diff(cut)
 
 
+def spare(groups: int) -> int:
+    """How many groups may be empty in a set before its empty ones are matched as well."""
+    return 1 + groups // 16
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """Hashes of the groups of a set, for its band and, if it's near enough, the next."""
     n, out = len(s), []
@@ -95,11 +106,13 @@ def signatures(s: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     own = int(np.searchsorted(BANDS, n, "right")) - 1
     for band in (own, own + 1):
-        groups = differences(BANDS[band + 1] - 1) + 1
-        if groups < 2 or (band > own and DEN * n < NUM * BANDS[band]):
+        least = differences(BANDS[band + 1] - 1) + 1
+        if least < 2 or (band > own and DEN * n < NUM * BANDS[band]):
             continue  # equal sets are one class already
-        sums, _ = group_sums(s, groups)
-        out.append(tk.mix(sums ^ tk.mix(np.arange(groups, dtype=np.uint64) + np.uint64(band << 40))))
+        groups = least + spare(least)
+        sums, sizes = group_sums(s, groups)
+        names = tk.mix(sums ^ tk.mix(np.arange(groups, dtype=np.uint64) + np.uint64(band << 40)))
+        out.append(names[sizes > 0] if (sizes == 0).sum() <= spare(least) else names)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -134,7 +147,7 @@ def _prints(documents: DataFrame, buckets: int) -> DataFrame:
             lengths = [len(x[1]) for x in seen.values()]
             sigs = np.concatenate([x[1] for x in seen.values()])
             docs = np.repeat(np.array([x[0] for x in seen.values()], np.int64), lengths)
-            kinds = np.repeat(np.array([k[1] & 0xFFFFFFFF for k in seen], np.uint32), lengths)
+            kinds = np.repeat(np.array([k[1] ^ k[2] for k in seen], np.uint64), lengths)
             to = (sigs % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((docs, to))
             sigs, docs, kinds, to = sigs[order], docs[order], kinds[order], to[order]
@@ -153,7 +166,7 @@ GATHERED = "lid long, members binary"
 def _gather(table: pa.Table) -> pa.Table:
     """Of one bucket the documents that share a signature and aren't of one class."""
     col = lambda name: table.column(name).to_pylist()
-    sigs, docs, kinds = long(b"".join(col("sigs")), SIGNATURE), ids_of(col("docs")), np.frombuffer(b"".join(col("kinds")), np.uint32)
+    sigs, docs, kinds = long(b"".join(col("sigs")), SIGNATURE), ids_of(col("docs")), np.frombuffer(b"".join(col("kinds")), np.uint64)
     order = np.lexsort((docs, kinds, sigs))
     sigs, docs, kinds = sigs[order], docs[order], kinds[order]
     new = np.append(True, sigs[1:] != sigs[:-1]) if len(sigs) else np.empty(0, bool)
@@ -236,8 +249,8 @@ def central_pairs(docs: np.ndarray, points: np.ndarray, sizes: np.ndarray, label
     """The member next to the median point, with each member that may link with it."""
     middle = np.median(points, axis=0)
     centre = int(np.argmin(np.abs(points - middle).sum(1)))
-    over = np.minimum(points[centre], points).sum(1) - needed(sizes[centre], sizes)
-    at = np.flatnonzero((over >= 0) & (docs != docs[centre]))
+    at, _ = RTree(points, sizes).search(points[centre], sizes[centre])
+    at = at[docs[at] != docs[centre]]
     return np.full(len(at), docs[centre]), docs[at]
 
 
@@ -314,7 +327,11 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def shingled(batches):
         for b in batches:
-            blobs = [short(s, 7) for s in sets(b.column(4))]
+            texts = b.column(4)
+            # Rows of one text come one after another, and it is cut up once.
+            new = np.append(True, ~np.asarray(pc.equal(texts[1:], texts[:-1]).fill_null(True))) if len(b) else np.empty(0, bool)
+            own = [short(s, 7) for s in sets(texts.filter(pa.array(new)))]
+            blobs = [own[i] for i in np.cumsum(new) - 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(blobs, pa.binary())], names=["home", "salt", "is_home", "doc", "shingles"])
 
     sent = docs.join(wanted, F.col("doc_id") == F.col("__id")).select("home", "salt", "is_home", "doc_id", "text").mapInArrow(shingled, SENT)
@@ -343,10 +360,22 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return sent.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """Equal sets, each with its least document."""
+    return prints.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"))
+
+
+def _same_id(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of ids that have several sets with the first members of these sets' classes."""
+    rows = prints.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2")
+    several = rows.groupBy("doc_id").agg(*[f(c).alias(f"{c}{i}") for c in ("n", "k1", "k2") for i, f in enumerate((F.min, F.max))])
+    several = several.where("n0 <> n1 or k10 <> k11 or k20 <> k21").select("doc_id")
+    return rows.join(several, "doc_id").distinct().join(_classes(prints), ["n", "k1", "k2"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    spark = documents.sparkSession
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = tasks_for(documents, BUCKET_BYTES)
     both = saved(_prints(documents, buckets))
     prints = both.where("bucket is null").select("doc_id", "n", "k1", "k2", "vec")
     gathered = both.where("bucket is not null").select("bucket", "sigs", "docs", "kinds").groupBy("bucket").applyInArrow(_gather, GATHERED)
@@ -355,7 +384,7 @@ def components(documents: DataFrame) -> DataFrame:
     members = saved(_explode(lists).join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "n", "vec"))
     alone = members.withColumn("label", F.col("doc"))
     tested = saved(_pairs(alone, central_pairs))
-    links = saved(_verified(documents, tested))
+    links = saved(_verified(documents, tested).unionByName(_same_id(prints)))
     labels = least_labels(links)
     for most in ROUNDS:
         now = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
@@ -369,8 +398,7 @@ def components(documents: DataFrame) -> DataFrame:
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = least_labels(links)
-    classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(labels, F.col("least") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "least").alias("label"))
+    classes = _classes(prints).join(labels, F.col("least") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "least").alias("label"))
     out = prints.join(classes, (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
@@ -378,12 +406,19 @@ def components(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents without those that a document with a smaller id stands for, columns unchanged.
 
-    Rows without id stay.  Only rows that may go, or whose id repeats, are shuffled.
+    Rows without id stay.  Of rows that share an id and, but for case and blanks, the text, the first by
+    text stays, then by a hash of the row; others that share an id all stay.  Only rows that may go, or
+    whose id repeats, are shuffled.
     """
     found = saved(components(documents))
-    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    rows = marked(documents, "doc_id", gone.unionByName(twice), "__gone")
-    sure = rows.where("not __maybe or doc_id is null").drop("__maybe")
-    maybe = rows.where("__maybe and doc_id is not null").drop("__maybe").join(gone.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return sure.unionByName(maybe.dropDuplicates(["doc_id"]))
+    gone = found.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = marked(rows, "id", gone.unionByName(twice), "gone")
+    sure = rows.where("not __maybe or id is null").select("row")
+    maybe = rows.where("__maybe and id is not null").select("id", "row").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    small = F.translate(F.col("row.text").cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    said = F.array_join(F.array_remove(F.split(small, "[\\x20\\x09-\\x0D]+"), ""), " ")
+    whole = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()])
+    first = F.row_number().over(Window.partitionBy("id", F.coalesce(said, F.lit(""))).orderBy("row.text", whole))
+    return sure.unionByName(maybe.withColumn("first", first).where("first = 1").select("row")).select("row.*")
