@@ -46,7 +46,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digest(chat.formatted(chat.replies(rows.unionByName(extra))))
+    return chat.digest(chat.formatted(chat.replies(rows.unionByName(extra)), unique=True))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_repeats, op2_shards, op3_mixing, op4_contamination, op5_toxicity, op6_quality, op7_passages, op8_chat, op9_secrets, op10_jaccard)
 }
-ORACLE: dict[str, str] = {"op4_contamination": oracle.CONTAMINATION, "op8_chat": oracle.CHAT, "op10_jaccard": oracle.JACCARD}
+ORACLE: dict[str, str] = {"op1_repeats": oracle.REPEATS, "op4_contamination": oracle.CONTAMINATION, "op8_chat": oracle.CHAT, "op10_jaccard": oracle.JACCARD}

@@ -19,7 +19,8 @@ suffixes that share a gram meet in one bucket:
 
 Defined results: null text is empty; rows without id never lose bytes and cause no loss; rows that
 share an id are one document (what one of them loses, all lose, as far as their texts reach);
-texts of under 50 bytes, empty tables and single documents lose nothing.
+texts of under 50 bytes, empty tables and single documents lose nothing; texts of any length are
+compared whole; a tie of ids is one document; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm import _tokens as tk
 from tideline.llm._packing import groups_of, ids_of, packed, steps, unpacked
-from tideline.llm._saved import marked, saved
+from tideline.llm._saved import marked, saved, tasks_for
 
 LENGTH = 50
 GRAM = 20
+#: Bytes of input, about, for each bucket of grams or documents.
+BUCKET_BYTES = 4 << 20
 #: A string has LENGTH - GRAM bytes around its anchor, so this many on one side at least.
 SIDE = (LENGTH - GRAM) // 2
 
@@ -369,9 +372,9 @@ def _placed(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _found(documents: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """The documents' ids and texts, rows of CLASSES, and the number of buckets of documents."""
-    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks_for(documents, BUCKET_BYTES)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs, saved(_classed(_entries(docs, 4 * parts), parts, every)), parts
+    return docs, saved(_classed(_entries(docs, parts), parts, every)), parts
 
 
 def _asked(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
