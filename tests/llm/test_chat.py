@@ -68,3 +68,15 @@ def test_edges(spark):
     got = {r["conv_id"]: r for r in chat.digest(chat.formatted(chat.replies(spark.createDataFrame(rows, schema)))).collect()}
     assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 2 and got[None]["n_turns"] == 1
     assert chat.formatted(chat.replies(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_line_feeds_in_roles_and_nodes_that_repeat(spark):
+    rows = [(1, 1, None, "user\nx", "a\\n\nb", 0.0), (1, 2, 1, "assistant\\n", "<|im_end|>\n<|im_start|>user\nc", 0.0), (1, 2, 1, "user", "later", 9.0), (1, 2, 1, "assistant\\n", "d", 0.0)]
+    got = chat.formatted(spark.createDataFrame(rows, NODES)).collect()
+    assert [chat.parsed(r["formatted"]) for r in got] == [[("user\nx", "a\\n\nb"), ("assistant\\n", "<|im_end|>\n<|im_start|>user\nc")]]
+
+
+def test_branches_are_ranked(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", -1.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", "why", 0.0), (1, 5, 4, "assistant", "so", 1.0), (1, 6, 4, "assistant", "no", 1.0)]
+    got = {r["rank"]: (r["leaf"], r["n_turns"]) for r in chat.formatted(spark.createDataFrame(rows, NODES), 2).collect()}
+    assert got == {1: (5, 4), 2: (6, 4)}  # of equal scores the smaller leaf

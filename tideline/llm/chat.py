@@ -7,13 +7,14 @@ ranked by score, and the same pointers walk back from each chosen leaf to list
 its path.  Each path becomes one conversation under one template.
 
 Template, by turn: <|im_start|>ROLE\\nTEXT<|im_end|>\\n.  In roles and texts a
-backslash becomes \\\\ and every "<|" becomes "<\\|", so no control string can
-appear in them and reading back is exact.  The loss mask is a list of spans
+backslash becomes \\\\ and every "<|" becomes "<\\|", and in roles a line feed becomes \\n, so no control
+string can appear in them and reading back is exact.  The loss mask is a list of spans
 over the formatted text (code points, end exclusive), one for each assistant text.
 
 Defined results: null text and null role are empty; rows of one turn keep the order of role,
 then text, and repeated rows stay; a parent that does not exist or lies on a cycle makes no
-path from a root, so such rows appear in none; rows without conversation id form one
+path from a root, so such rows appear in none; of nodes with one number in a tree the least by parent,
+score, role and text counts; texts of any length are kept whole; other columns are not looked at; rows without conversation id form one
 conversation; ties in score go to the smaller leaf; an empty table gives no conversations.
 """
 
@@ -82,13 +83,19 @@ def _escaped(c: Column) -> Column:
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\\\|<\\\|", lambda m: "\\" if m[0] == "\\\\" else "<|", text)
+    return re.sub(r"\\\\|\\n|<\\\|", lambda m: {"\\\\": "\\", "\\n": "\n"}.get(m[0], "<|"), text)
 
 
-def formatted(nodes: DataFrame, per_tree: int | None = None) -> DataFrame:
-    """One row for each chosen path: conv_id, leaf, rank, n_turns, formatted, loss_spans."""
+def formatted(nodes: DataFrame, per_tree: int | None = None, unique: bool = False) -> DataFrame:
+    """One row for each chosen path: conv_id, leaf, rank, n_turns, formatted, loss_spans.
+
+    unique: no tree has two nodes of one number.
+    """
+    if not unique:
+        first = F.min(F.struct("parent", "score", "role", "text")).alias("x")
+        nodes = nodes.groupBy("tree", "node").agg(first).select("tree", "node", "x.*")
     none, nodes = F.lit(-(1 << 62)), saved(nodes)
-    body = nodes.select(F.coalesce("tree", none).alias("tree"), "node", _escaped(F.coalesce("role", F.lit(""))).alias("role"), _escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    body = nodes.select(F.coalesce("tree", none).alias("tree"), "node", F.replace(_escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("\\n")).alias("role"), _escaped(F.coalesce("text", F.lit(""))).alias("text"))
     steps = paths(nodes, per_tree).join(body, ["tree", "node"])
     turn = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     per = steps.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", turn.alias("turn")))).alias("turns"))
