@@ -2,6 +2,9 @@
 
 import math
 import random
+from collections import Counter
+from fractions import Fraction
+
 
 from tideline.llm import mixing
 
@@ -94,3 +97,40 @@ def test_many_sources(spark):
     df = spark.range(2400).selectExpr("id as doc_id", "concat('s', id % 1200) as source", "'t' as text")
     got = mixing.schedule(df, block_rows=1).collect()
     assert sorted(r["slot"] for r in got) == list(range(2400)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def plain(counts, targets, block_rows):
+    """A schedule by a plain reading: at every slot the released block with the earliest deadline."""
+    left = {s: -(-n // block_rows) for s, n in counts.items() if n}
+    out, slot, done = {}, 0, dict.fromkeys(left, 0)
+    while left:
+        start, total = slot, sum(Fraction(targets[s]) for s in left)
+        given = dict.fromkeys(left, 0)
+        while True:
+            ready = []
+            for s in left:
+                rate = Fraction(targets[s]) / total
+                k = given[s]
+                release, deadline = start + math.floor(k / rate), start + math.ceil((k + 1) / rate)
+                if release <= slot:
+                    ready.append((deadline, s, release))
+            deadline, s, release = min(ready)
+            out[s, done[s]] = (slot, release, deadline)
+            slot, given[s], done[s], left[s] = slot + 1, given[s] + 1, done[s] + 1, left[s] - 1
+            if not left[s]:
+                del left[s]
+                break
+    return out
+
+
+def test_query_against_a_plain_schedule(spark):
+    from tideline.llm import registry
+
+    rows = registry.op3_mixing(spark, "/root/testdata/sf0.01").collect()
+    counts = Counter(r["source"] for r in rows)
+    want = plain(counts, {s: float(n**0.5) for s, n in counts.items()}, mixing.BLOCK_ROWS)
+    ranks = {}
+    for r in rows:
+        assert (r["slot"], r["release"], r["deadline"]) == want[r["source"], r["source_rank"] // mixing.BLOCK_ROWS]
+        ranks.setdefault(r["source"], []).append(r["source_rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in ranks.values())

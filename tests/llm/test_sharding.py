@@ -1,8 +1,10 @@
 """Shares, movement and slots of the hash tree."""
 
+import math
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import registry, sharding
@@ -55,3 +57,43 @@ def test_edges(spark):
     assert sharding.shards(df.where("false")).count() == 0
     one = sharding.shards(spark.range(5000).select(F.lit(7).alias("doc_id"), F.col("id").cast("string").alias("text"))).collect()
     assert sorted(r["slot"] for r in one) == list(range(5000)) and len({r["shard"] for r in one}) == 1
+
+
+def _winner(key, path, weights):
+    """The least -ln(u) / weight over children, by a plain reading of the hash."""
+    best = None
+    for child, w in enumerate(weights):
+        h = 42
+        for part in (key, *path, child):
+            h = xxhash.xxh64_intdigest(part.encode() if isinstance(part, str) else part.to_bytes(4, "little"), seed=h)
+        draw = -math.log(((h >> 11) + 0.5) / (1 << 53)) / w if w > 0 else math.inf
+        if best is None or (draw, child) < best:
+            best = (draw, child)
+    return best[1]
+
+
+def plain(key, n_shards, added=()):
+    tree = sharding.tree_of([1.0] * n_shards)
+    total = lambda x: sum(map(total, x)) if isinstance(x, list) else x[1]
+    top = [float(total(r)) for r in tree]
+    region = _winner(key, ["root"], [*top, *added])
+    if region >= len(tree):
+        return n_shards + region - len(tree)
+    racks = max(len(r) for r in tree)
+    weights = [float(total(k)) for k in tree[region]] + [0.0] * (racks - len(tree[region]))
+    rack = _winner(key, ["region", region], weights)
+    leaves = [w for _, w in tree[region][rack]]
+    return tree[region][rack][_winner(key, ["rack", region * racks + rack], leaves)][0]
+
+
+def test_query_against_a_plain_tree(spark):
+    rows = registry.op2_shards(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (plain(str(r["doc_id"]), 40), plain(str(r["doc_id"]), 40, [1.0]))
+
+
+def test_ties_keep_their_order(spark):
+    df = spark.createDataFrame([(1, f"t{i % 7}", i) for i in range(500)], "doc_id long, text string, __whole int")
+    a = {(r["text"], r["__whole"]): r["slot"] for r in sharding.assign(df).collect()}
+    assert a == {(r["text"], r["__whole"]): r["slot"] for r in sharding.assign(df.repartition(9)).collect()} and sorted(a.values()) == list(range(500))

@@ -85,3 +85,36 @@ def test_edges(spark):
     s = net.scores(pa.array([None, "", "bad words here", "good words here"]))
     assert list(s[:2]) == [toxicity.EMPTY] * 2 and s[2] > 0.5 > s[3]
     assert pytest.approx(s[2]) == net.scores(pa.array(["bad words here"]))[0]
+
+
+def test_scores_against_a_plain_network():
+    """Windows one by one, word by word, as the gates are written down in books."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(3)
+    words = [f"w{rng.integers(40)}{'abc'[rng.integers(3)] * rng.integers(6)}" for _ in range(150)]
+    texts = [" ".join(words[: rng.integers(1, 150)]) for _ in range(20)] + ["one", "a b", "É z " * 40]
+    v = toxicity.Vocabulary(*toxicity.tk.buffers(pa.array(texts)))
+    inputs = net.inputs(v).astype(np.float64)
+    w = {k: x.astype(np.float64) for k, x in net.w.items()}
+    sigmoid, h = lambda x: 1 / (1 + np.exp(-x)), toxicity.HIDDEN
+
+    def states(x, d):
+        s, out = np.zeros(h), []
+        for row in x if d == "f" else x[::-1]:
+            g = row @ w[f"{d}wx"] + w[f"{d}b"]
+            zr = sigmoid(g[: 2 * h] + s @ w[f"{d}u"])
+            n = np.tanh(g[2 * h :] + (zr[h:] * s) @ w[f"{d}v"])
+            s = (1 - zr[:h]) * n + zr[:h] * s
+            out.append(s)
+        return out if d == "f" else out[::-1]
+
+    want = []
+    for i in range(len(texts)):
+        at, best = v.at[v.offs[i] : v.offs[i + 1]], -np.inf
+        for start in range(0, max(1, len(at) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            x = inputs[at[start : start + toxicity.WINDOW]]
+            both = np.concatenate([states(x, "f"), states(x, "g")], axis=1)
+            a = np.exp(np.tanh(both @ w["a"]) @ w["q"])
+            best = max(best, (a / a.sum()) @ both @ w["o"] + w["c"][0])
+        want.append(sigmoid(best))
+    assert np.allclose(net.scores(pa.array(texts)), want, atol=1e-4)
