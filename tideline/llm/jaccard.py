@@ -381,15 +381,18 @@ def components(documents: DataFrame) -> DataFrame:
     gathered = both.where("bucket is not null").select("bucket", "sigs", "docs", "kinds").groupBy("bucket").applyInArrow(_gather, GATHERED)
     lists = saved(gathered.dropDuplicates(["lid"]))
     points = prints.where("doc_id is not null and n > 0").select("doc_id", "n", "vec").distinct()
-    members = saved(_explode(lists).join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "n", "vec"))
-    alone = members.withColumn("label", F.col("doc"))
-    tested = saved(_pairs(alone, central_pairs))
+    members = saved(_explode(lists))
+
+    def pointed(rows: DataFrame) -> DataFrame:
+        return rows.join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "label", "n", "vec")
+
+    tested = saved(_pairs(pointed(members.withColumn("label", F.col("doc"))), central_pairs))
     links = saved(_verified(documents, tested).unionByName(_same_id(prints)))
     labels = least_labels(links)
     for most in ROUNDS:
         now = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
         open_ = now.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
-        found = _pairs(now.join(open_, "lid"), lambda d, p, n, g, most=most: crossing_pairs(d, p, n, g, most))
+        found = _pairs(pointed(now.join(open_, "lid")), lambda d, p, n, g, most=most: crossing_pairs(d, p, n, g, most))
         found = saved(found.join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
             continue
