@@ -151,6 +151,28 @@ def test_segments(spark):
     assert [due(0, 0), due(9, 0), due(10, 0), due(15, 10), due(15, 10, forced=True), due(0, 0, forced=True)] == [False, False, True, False, True, False]
 
 
+def test_rotation_follows_a_fold(spark, monkeypatch):
+    rng = random.Random(9)
+    for bits, n in ((16, 300), (5, 300), (2, 50)):
+        monkeypatch.setattr(segments, "STRETCH_BITS", bits)
+        rows, seq = [], 0
+        for _ in range(n):
+            seq += rng.choice((1, 1, 1, 5))
+            rows.append((seq, rng.choice((0, 1, 40, 100, 512, 513, 5000))))
+        want: list[list[int]] = []
+        for s, b in rows:
+            if not want or want[-1][4] + b > 512:
+                want.append([len(want) + 1, s, s, 0, 0])
+            want[-1][2:] = [s, want[-1][3] + 1, want[-1][4] + b]
+        got = segments.rotated(spark.createDataFrame(rows, "seq long, bytes long").repartition(3), 512).orderBy("segment_id").collect()
+        assert [list(r) for r in got] == want
+
+
+def test_gaps(spark):
+    rows = spark.createDataFrame([(i,) for i in (1, 2, 5, 65535, 65536, 131072, 131074)], "seq long")
+    assert sorted(tuple(r) for r in logs.gaps(rows).collect()) == [(2, 5), (5, 65535), (65536, 131072), (131072, 131074)]
+
+
 def test_snapshots(spark, tmp_path):
     log = log_of(spark, (1000, "SET", "alpha", "111"), (2000, "SET", "beta", "222"), (3000, "DEL", "alpha", None), (4000, "SET", "c", "3"))
     leases = spark.createDataFrame([(1, 5000, 5000)], "lease_id long, expire_at_ms long, ttl_ms long")

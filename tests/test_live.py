@@ -130,3 +130,15 @@ def test_puts_as_of_the_lease_in_force(spark):
     assert sorted(r["value"] for r in lease.put_ephemeral(puts, events).collect()) == ["again", "in"]
     refused = spark.createDataFrame([(1, 1, "create", 0, 100), (2, 1, "keepalive", 200, 100)], "seq long, lease_id long, kind string, now_ms long, ttl_ms long")
     assert lease.latest_leases(refused).count() == 0  # a keepalive after expiry revives nothing
+
+
+def test_saved_and_released(spark):
+    from pathlib import Path
+
+    from tideline.sources import shared
+
+    df = shared.saved(spark.range(100))
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    assert df.count() == 100 and Path(file.removeprefix("file:")).exists()
+    shared.released(df)
+    assert not Path(file.removeprefix("file:")).exists()

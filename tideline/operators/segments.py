@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes around a payload; the default size of a segment; the largest payload.
@@ -18,28 +22,54 @@ def record_bytes(payload: Column) -> Column:
 SEGMENTED = "segment_id long, first_seq long, last_seq long, n long, bytes long"
 
 
+#: Places of the log, a power of 2, whose sizes travel as one row.
+STRETCH_BITS = 16
+STRETCHES = "stretch long, seqs binary, sizes binary"
+
+
+def _stretches(records: DataFrame) -> DataFrame:
+    """The places and sizes of records, a row for each stretch of the log: numbers by their steps, deflated."""
+
+    def run(key, table):
+        seqs, sizes = table.column("seq").to_numpy(), table.column("bytes").to_numpy()
+        order = np.argsort(seqs, kind="stable")
+        steps = np.diff(seqs[order], prepend=0)
+        return pa.table({"stretch": pa.array([key[0].as_py()], pa.int64()), "seqs": [zlib.compress(steps.tobytes(), 1)], "sizes": [zlib.compress(sizes[order].tobytes(), 1)]})
+
+    rows = records.select(F.col("seq").cast("long").alias("seq"), F.col("bytes").cast("long").alias("bytes"), F.shiftright(F.col("seq").cast("long"), STRETCH_BITS).alias("stretch"))
+    return rows.groupBy("stretch").applyInArrow(run, STRETCHES)
+
+
 def rotated(records: DataFrame, cap: int = SEGMENT_BYTES) -> DataFrame:
     """Segments of records (seq, bytes): a record that would go over the cap opens a new one, and one
     that is over it by itself has a segment alone.
 
-    Each record depends on all before it, so one task reads the two columns in order, as a stream.
+    Each cut depends on the one before it.  Records are brought together by stretches in parallel; then
+    one task goes from cut to cut through the stretches' sums, so its work grows with segments, and it reads a
+    byte or two for each record, as a stream.
     """
 
     def fold(frames):
-        at, first, last, n, size = 1, None, None, 0, 0
+        at, first, last, n, size = 1, 0, 0, 0, 0
         for pdf in frames:
             out = []
-            for seq, b in zip(pdf["seq"], pdf["bytes"], strict=True):
-                if n and size + b > cap:
-                    out.append((at, first, last, n, size))
-                    at, n, size = at + 1, 0, 0
-                first = seq if not n else first
-                last, n, size = seq, n + 1, size + b
+            for a, b in zip(pdf["seqs"], pdf["sizes"], strict=True):
+                seqs, sizes = np.cumsum(np.frombuffer(zlib.decompress(a), np.int64)), np.frombuffer(zlib.decompress(b), np.int64)
+                sums, i = np.append(0, np.cumsum(sizes)), 0
+                while i < len(seqs):
+                    j = int(np.searchsorted(sums, sums[i] + cap - size, "right")) - 1
+                    if j <= i and n:  # nothing more fits
+                        out.append((at, first, last, n, size))
+                        at, n, size = at + 1, 0, 0
+                        continue
+                    j = max(j, i + 1)
+                    first = first if n else int(seqs[i])
+                    last, n, size, i = int(seqs[j - 1]), n + j - i, size + int(sums[j] - sums[i]), j
             yield pd.DataFrame(out, columns=["segment_id", "first_seq", "last_seq", "n", "bytes"])
         if n:
             yield pd.DataFrame([(at, first, last, n, size)], columns=["segment_id", "first_seq", "last_seq", "n", "bytes"])
 
-    return records.select("seq", "bytes").coalesce(1).sortWithinPartitions("seq").mapInPandas(fold, SEGMENTED)
+    return _stretches(records).coalesce(1).sortWithinPartitions("stretch").mapInPandas(fold, SEGMENTED)
 
 
 def pruned(segments: DataFrame, after_seq: int) -> DataFrame:

@@ -53,8 +53,8 @@ def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query],
     return add
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    return logs.change_log(spark, d)
+def _log(spark: SparkSession, d: str, after: int = 0) -> DataFrame:
+    return logs.change_log(spark, d, after)
 
 
 LOG_COLUMNS = "seq, revision, phys_ms, logical, node_id, op, key, value"
@@ -62,17 +62,17 @@ LOG_COLUMNS = "seq, revision, phys_ms, logical, node_id, op, key, value"
 
 @query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE seq > 100")
 def log_scan_after(spark, d):
-    return logs.scan_after(_log(spark, d), AFTER).select(*logs.COLUMNS)
+    return logs.scan_after(_log(spark, d, AFTER), AFTER).select(*logs.COLUMNS)
 
 
 @query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE seq > 100 ORDER BY seq LIMIT 500")
 def log_scan_limit(spark, d):
-    return logs.scan_after(_log(spark, d), AFTER, MOST).select(*logs.COLUMNS)
+    return logs.scan_after(_log(spark, d, AFTER), AFTER, MOST).select(*logs.COLUMNS)
 
 
 @query(f"SELECT {LOG_COLUMNS} FROM change_log WHERE revision > 100")
 def read_after_revision(spark, d):
-    return logs.read_after(_log(spark, d), AFTER).select(*logs.COLUMNS)
+    return logs.read_after(_log(spark, d, AFTER), AFTER).select(*logs.COLUMNS)
 
 
 @query("SELECT event_id, event_id + 1001 AS seq, event_id + 1001 AS revision FROM events")
@@ -83,7 +83,7 @@ def log_append(spark, d):
 
 @query("SELECT CASE WHEN op = 'SET' THEN 'Set' ELSE 'Delete' END AS kind, key, value, phys_ms, logical, node_id, revision, seq FROM change_log WHERE seq > 100 AND starts_with(key, 'users/1')")
 def prefix_replay(spark, d):
-    return logs.replay(_log(spark, d), AFTER, PREFIX)
+    return logs.replay(_log(spark, d, AFTER), AFTER, PREFIX)
 
 
 @query("SELECT * FROM state WHERE value IS NOT NULL")
@@ -517,7 +517,7 @@ def text_checksums(spark, d):
 
 @query("SELECT (revision - 101) // 256 AS batch, min(revision) - 1 AS base_revision, max(revision) AS last_revision, count(*) AS n, string_agg(key, ',' ORDER BY seq) AS keys FROM change_log WHERE revision > 100 GROUP BY 1")
 def wal_batches(spark, d):
-    rows = replica.wal_batches(_log(spark, d), AFTER, BATCH)
+    rows = replica.wal_batches(_log(spark, d, AFTER), AFTER, BATCH)
     return rows.select("batch", "base_revision", "last_revision", "n", F.array_join("records.key", ",").alias("keys"))
 
 

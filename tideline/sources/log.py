@@ -13,9 +13,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 COLUMNS = ["seq", "revision", "phys_ms", "logical", "node_id", "op", "key", "value"]
 
 
-def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log that the events table stands for; one node's clock is three days behind."""
+def change_log(spark: SparkSession, sf_dir: str, after: int = 0) -> DataFrame:
+    """The log that the events table stands for; one node's clock is three days behind.
+
+    after: records up to this place may be left out, by a filter that the reader of events knows.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if after:
+        e = e.where(F.col("event_id") >= after)
     now = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(

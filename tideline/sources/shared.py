@@ -33,6 +33,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> None:
+    """Deletes what saved() wrote for df, once nothing reads it any more."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
 def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
