@@ -134,3 +134,11 @@ def test_query_against_a_plain_schedule(spark):
         assert (r["slot"], r["release"], r["deadline"]) == want[r["source"], r["source_rank"] // mixing.BLOCK_ROWS]
         ranks.setdefault(r["source"], []).append(r["source_rank"])
     assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+
+
+def test_long_texts_and_large_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "long " * 40000 if i % 500 == 0 else None, i) for i in range(2000)], "doc_id long, source string, text string, slot int")
+    assert {(r["doc_id"], r["slot"], r["text"]) for r in mixing.mixed(df).collect()} == {(r["doc_id"], r["slot"], r["text"]) for r in df.collect()}
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    got = mixing.schedule(df).collect()
+    assert max(r["slot"] for r in got) < 22 and all(r["block"] == r["source_rank"] // 100 for r in got)

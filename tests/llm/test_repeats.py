@@ -96,3 +96,9 @@ def test_interval_tree():
     words = sorted(["banana$"[i:] for i in range(7)])
     lcp = [next(k for k in range(9) if words[i][k : k + 1] != words[i + 1][k : k + 1]) for i in range(6)]
     assert sorted(repeats.intervals(lcp)) == [(0, 0, 6), (1, 1, 3), (2, 5, 6), (3, 2, 3)]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "x" * 30 + "shared text of fifty bytes and a few more than that", 1, "a"), (2, "y" * 9 + "shared text of fifty bytes and a few more than that", 2, "b")]
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.removals(spark.createDataFrame(rows, "doc_id long, text string, __maybe int, dbucket string")).collect()}
+    assert got == {1: 0, 2: 51}

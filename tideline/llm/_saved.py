@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.sources.shared import saved as saved
+from tideline.sources.shared import released as released, saved as saved
 
 #: Bits of an id filter, whatever the number of ids.
 FILTER_BITS = 1 << 23
@@ -52,7 +52,8 @@ def least_labels(links: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         joined = down.join(low, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = saved(small.where("a <> b").distinct())
+        old, edges = edges, saved(small.where("a <> b").distinct())
+        released(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

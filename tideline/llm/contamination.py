@@ -9,7 +9,8 @@ places.  Documents stay where they are: no shuffle, one pass.
 
 Defined results: null and empty texts have no words and are never contaminated;
 repeated rows are judged alike, each for itself; an empty benchmark
-hits nothing; benchmark rows without id or words are left out, several rows with one id are
+hits nothing, an empty table of documents gives an empty result; texts of any length are searched whole;
+windows that tie count for all items that have them; benchmark rows without id or words are left out, several rows with one id are
 one item; other columns of the documents are carried along untouched.
 """
 
@@ -161,7 +162,7 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     rows, size = [], 0
     for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
         rows.append((r[0], r[1]))
-        size += len(r[1])
+        size += len(r[1].encode())
         if size >= block_bytes:
             yield rows
             rows, size = [], 0

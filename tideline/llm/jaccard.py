@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.llm import _tokens as tk
 from tideline.llm._packing import ids_of, long, packed, short, steps, unpacked
-from tideline.llm._saved import least_labels, marked, saved, tasks_for
+from tideline.llm._saved import least_labels, marked, released, saved, tasks_for
 
 SHINGLE = 3
 #: Linked: DEN * intersection >= NUM * union.
@@ -399,8 +399,11 @@ def components(documents: DataFrame) -> DataFrame:
         more = saved(_verified(documents, found))
         tested = tested.unionByName(found)
         if more.limit(1).count():
-            links = links.unionByName(more)
+            links, old = links.unionByName(more), labels
             labels = least_labels(links)
+            released(old)
+    released(members)
+    released(lists)
     classes = _classes(prints).join(labels, F.col("least") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "least").alias("label"))
     out = prints.join(classes, (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))

@@ -7,11 +7,13 @@ every slot each source is less than one block from its share.  Weights are exact
 fractions and never rounded.  The driver makes one entry for each block, and
 every row finds its block's entry by its rank.  When a source runs out, the rest go
 on under a new schedule with their weights scaled up; there are as many schedules
-as sources, of any number.  A target of none or 0 counts as 1e-9.
+as sources, of any number.  A target of none or 0 counts as 1e-9.  Blocks have 32 rows, or as many as
+keep the schedule, which goes to all executors, to 2**20 blocks and one for each source.
 
 Defined results: every row is kept once; null and empty source are one source; ranks within a
 source follow a hash of the id, so they do not depend on partitions; ids that repeat are
-ranked apart, in any order; an empty table gives an empty result.
+ranked apart, by a hash of the row; ties of deadlines go to the lesser source; texts of any length, null
+ones too, are carried along, as are other columns, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.llm._numbering import numbered
 
 BLOCK_ROWS = 32
+#: Blocks of a schedule, about, at most.
+MOST_BLOCKS = 1 << 20
 #: Slots of a stretch of `plan`; no result depends on it.
 PERIOD = 1000
 
@@ -119,10 +123,11 @@ def _chunks(blocks: dict[str, int], targets: dict[str, float]) -> Iterator[tuple
             yield s, block // CHUNK, held.pop(s)
 
 
-def _scheduled(rows: DataFrame, targets: dict[str, float] | None, alpha: float, block_rows: int) -> DataFrame:
+def _scheduled(rows: DataFrame, targets: dict[str, float] | None, alpha: float, block_rows: int | None) -> DataFrame:
     """rows: __s (source), __id and more; adds rank, block, phase, release, deadline and slot."""
     spark = rows.sparkSession
     counts = {r[0]: r[1] for r in rows.groupBy("__s").count().collect()}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     weight = {s: float((targets or {}).get(s, 0) if targets else n**alpha) or 1e-9 for s, n in counts.items()}
     table = list(_chunks({s: -(-n // block_rows) for s, n in counts.items()}, weight))
     rows = numbered(rows, "__s", [F.xxhash64("__id"), F.col("__id")], "__rank")
@@ -133,7 +138,7 @@ def _scheduled(rows: DataFrame, targets: dict[str, float] | None, alpha: float,
     return rows.withColumns({"phase": F.col("__at.phase"), "__slot": F.col("__at.slot"), "__release": F.col("__at.release"), "__deadline": F.col("__at.deadline")}).drop("places", "__at")
 
 
-def schedule(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def schedule(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """Per document its place in the mix: doc_id, source, source_rank, block, phase, release, deadline, slot.
 
     targets: weight by source; without it, the count of documents to the power alpha.
@@ -144,7 +149,7 @@ def schedule(documents: DataFrame, targets: dict[str, float] | None = None, alph
     return out.select(F.col("__id").alias("doc_id"), F.col("__s").alias("source"), F.col("__rank").alias("source_rank"), F.col("__block").alias("block"), "phase", F.col("__release").alias("release"), F.col("__deadline").alias("deadline"), F.col("__slot").alias("slot"))
 
 
-def mixed(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mixed(documents: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """The documents in the order of the mix, with their own columns only."""
     rows = documents.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"))
     out = _scheduled(rows, targets, alpha, block_rows)

@@ -10,7 +10,9 @@ moves is at most one row for each bucket and task, and the table of ratios has
 one entry for each bucket, whatever the corpus.
 
 Defined results: null text has no words; a text without words scores 0 and fails the base rule;
-without trusted documents all ratios are 0; documents that repeat are judged alike and count each time.
+without trusted documents all ratios are 0; documents that repeat are judged alike and count each time;
+texts of any length are read whole; a score on the threshold is kept; other columns are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

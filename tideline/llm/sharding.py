@@ -11,7 +11,10 @@ there with the regions and takes exactly the documents whose draw it wins.
 that region's old shards as well.)
 
 Defined results: id and shard count alone decide (law `key`), so equal ids, null
-included, share a shard; null texts count as empty; order of slots is by hash, then id.
+included, share a shard; null texts count as empty, texts of any length are measured whole; order of slots
+is by hash, then id, then a hash of the row; ties of draws go to the lesser child; rows that repeat
+each get a slot; other columns are carried along by `assign`, whatever their names, but for shard and slot;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ The sample is bounded by SAMPLE and SAMPLE_BYTES; scores cover all text.
 Defined results: null and empty texts have no window and get the score EMPTY; without labels of
 both kinds every text gets the share of toxic ones; labels without id or mark are left out, and of
 several marks of one id the largest counts; rows that repeat get the same score, whatever
-their id; documents without id are scored and not held out.
+their id; documents without id are scored and not held out; texts of any length are scored whole; a score
+on the threshold counts as toxic; other columns are carried along or not looked at, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
