@@ -43,6 +43,11 @@ def entry() -> Column:
     return F.concat(F.lit(bytearray([0x85])), _string(2, "key"), value, _number("phys_ms"), _number("logical"), _string(3, "node_id"))
 
 
+def list_head(n: Column) -> Column:
+    """The head of an array of n items in CBOR."""
+    return _head(4, n)
+
+
 def encoded(log: DataFrame) -> DataFrame:
     """seq, payload (CBOR), crc of the payload, record_bytes on disk."""
     return log.select("seq", record().alias("payload")).select("seq", "payload", crc64_column(F.col("payload")).alias("crc"), (F.octet_length("payload") + 20).alias("record_bytes"))

@@ -154,9 +154,12 @@ def watch_lines(spark, d):
 
 
 def _written(spark, d, parts: int = 4) -> str:
-    """The log as Parquet files in order, in a new folder."""
-    path = fresh(spark, "log")
-    _log(spark, d).repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(path)
+    """The log as Parquet files in a new folder, written one after another, as a writer would."""
+    path, log = fresh(spark, "log"), _log(spark, d)
+    most = log.agg(F.max("seq")).first()[0] or 0
+    for i in range(parts):
+        rows = log.where((F.col("seq") > most * i // parts) & (F.col("seq") <= most * (i + 1) // parts))
+        rows.coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(path)
     return path
 
 
@@ -169,6 +172,16 @@ def watch_stream(spark, d):
     return spark.read.parquet(told).drop("batch")
 
 
+@query(f", {CHANGES_SQL} SELECT key, value, phys_ms, logical, node_id, revision, seq FROM changes")
+def state_stream(spark, d):
+    """The last writer of each key, held as a stream's state over files that come one by one."""
+    live.configure(spark)
+    out = fresh(spark, "changed")
+    rows = live.changed(live.log_stream(spark, _written(spark, d), 1))
+    rows.writeStream.format("parquet").option("checkpointLocation", fresh(spark, "state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(f", {CHANGES_SQL} SELECT w.watch_id, c.key, c.seq FROM changes c JOIN (VALUES (CAST(1 AS BIGINT), 'users/1'), (3, 'users/12')) w(watch_id, prefix) ON starts_with(c.key, w.prefix) QUALIFY row_number() OVER (PARTITION BY w.watch_id ORDER BY c.seq DESC) <= 16")
 def watch_registry(spark, d):
     """Watches with buffers that come and go over one stream; the second leaves before anything comes."""
@@ -521,9 +534,23 @@ def wal_batches(spark, d):
     return rows.select("batch", "base_revision", "last_revision", "n", F.array_join("records.key", ",").alias("keys"))
 
 
-@query(", t AS (SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS b FROM change_log), c AS (SELECT CAST(unnest(range(0, CAST((b + 65535) // 65536 AS BIGINT))) AS INTEGER) AS chunk_index, b FROM t) SELECT chunk_index, CAST(chunk_index AS BIGINT) * 65536 AS \"offset\", least(65536, b - CAST(chunk_index AS BIGINT) * 65536) AS length FROM c")
+def _head_sql(n: str) -> str:
+    """Bytes of the head of an item in CBOR with a length or number n."""
+    return f"(CASE WHEN {n} < 24 THEN 1 WHEN {n} < 256 THEN 2 WHEN {n} < 65536 THEN 3 WHEN {n} < 4294967296 THEN 5 ELSE 9 END)"
+
+
+ENTRY_SQL = " + ".join(["1", *(f"{_head_sql(f'strlen({c})')} + strlen({c})" for c in ("key", "node_id")), f"CASE WHEN value IS NULL THEN 1 ELSE {_head_sql('strlen(value)')} + strlen(value) END", _head_sql("phys_ms"), _head_sql("logical")])
+
+
+@query(
+    f""", t AS (SELECT CAST(sum({ENTRY_SQL}) + {_head_sql("count(*)")} AS BIGINT) AS b FROM state),
+    c AS (SELECT CAST(unnest(range(0, CAST((b + 65535) // 65536 AS BIGINT))) AS INTEGER) AS chunk_index, b FROM t)
+    SELECT chunk_index, CAST(chunk_index AS BIGINT) * 65536 AS "offset", least(65536, b - CAST(chunk_index AS BIGINT) * 65536) AS length FROM c"""
+)
 def snapshot_chunks(spark, d):
-    total = _log(spark, d).agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("total_bytes"))
+    """The pieces in which the encoded state travels."""
+    size = F.octet_length(codec.entry()).cast("long")
+    total = state.latest(_log(spark, d)).agg((F.sum(size) + F.octet_length(codec.list_head(F.count(F.lit(1))))).alias("total_bytes"))
     return replica.snapshot_chunks(total)
 
 
