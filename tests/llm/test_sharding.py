@@ -97,3 +97,17 @@ def test_ties_keep_their_order(spark):
     df = spark.createDataFrame([(1, f"t{i % 7}", i) for i in range(500)], "doc_id long, text string, __whole int")
     a = {(r["text"], r["__whole"]): r["slot"] for r in sharding.assign(df).collect()}
     assert a == {(r["text"], r["__whole"]): r["slot"] for r in sharding.assign(df.repartition(9)).collect()} and sorted(a.values()) == list(range(500))
+
+
+def test_growing_again_and_again(spark):
+    ids = spark.range(20000).select(F.col("id").alias("k"))
+    weights, df = [1.0] * 10, ids
+    for n in range(4):
+        df = sharding.with_shard(df, "k", f"s{n}", weights, [1.0] * n, racks_per_region=2, shards_per_rack=2)
+    rows = df.collect()
+    for n in range(1, 4):
+        assert all(r[f"s{n}"] in (r[f"s{n - 1}"], 9 + n) for r in rows)
+        assert abs(sum(r[f"s{n}"] == 9 + n for r in rows) - 20000 / (10 + n)) < 250
+    at = sharding.places(weights, [1.0] * 3, 2, 2)
+    assert [s for s, _, _ in at] == list(range(13)) and at[:4] == [(0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 1)]
+    assert at[10:] == [(10, 0, 0), (11, 0, 1), (12, 1, 0)]

@@ -5,10 +5,11 @@ node every child draws -ln(u) / weight from a hash of the document's id and the
 child's place, and the least draw wins, so a child gets its share of the weight
 and a change of one weight moves documents only into or out of that child.
 
-A shard that is added later is a tranche of weight at the root: it competes
-there with the regions and takes exactly the documents whose draw it wins.
-(Raising the weights of its region and rack instead would move documents into
-that region's old shards as well.)
+A shard that is added later stands in a region and a rack (see `places`), and its weight is a
+tranche of its own at both: a region's draw is the least of those of its first weight and of its
+tranches, and where a tranche wins the descent goes straight to the shard that brought it.  So an
+added shard takes exactly the documents whose draw it wins, however often shards are added.
+(Raising the weights of its region and rack instead would move documents into their old shards as well.)
 
 Defined results: id and shard count alone decide (law `key`), so equal ids, null
 included, share a shard; null texts count as empty, texts of any length are measured whole; order of slots
@@ -33,6 +34,19 @@ def tree_of(weights: list[float], racks_per_region: int = 2, shards_per_rack: in
     return [racks[i : i + racks_per_region] for i in range(0, len(racks), racks_per_region)]
 
 
+def places(weights: list[float], added: list[float] = (), racks_per_region: int = 2, shards_per_rack: int = 5) -> list[tuple[int, int, int]]:
+    """(shard, region, rack) of every shard; an added one goes to the rack with the least weight,
+    tranches included, the first of equal ones."""
+    tree = tree_of(weights, racks_per_region, shards_per_rack)
+    load = {(r, q): sum(w for _, w in rack) for r, region in enumerate(tree) for q, rack in enumerate(region)}
+    out = [(s, r, q) for r, region in enumerate(tree) for q, rack in enumerate(region) for s, _ in rack]
+    for i, w in enumerate(added):
+        r, q = min(load, key=lambda k: (load[k], k))
+        load[r, q] += w
+        out.append((len(weights) + i, r, q))
+    return out
+
+
 def _winner(key: Column, path: list[Column], weights: Column) -> Column:
     """The child with the least -ln(u) / weight; u: 53 bits of a hash; without weight none wins."""
 
@@ -44,7 +58,8 @@ def _winner(key: Column, path: list[Column], weights: Column) -> Column:
 
 
 def with_shard(df: DataFrame, key: str, name: str, weights: list[float], added: list[float] = (), **shape) -> DataFrame:
-    """Adds `name`: the shard for a key column, with tranches `added` after the tree's shards."""
+    """Adds `name`: the shard for a key column; `added` are the weights of shards that came later, in
+    order, each a tranche of the region and rack that `places` gives it."""
     tree = tree_of(weights, **shape)
     total = lambda x: sum(map(total, x)) if isinstance(x, list) else x[1]
     racks = max(len(r) for r in tree)
