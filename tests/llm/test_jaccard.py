@@ -112,7 +112,7 @@ def test_many_large_sets(spark):
     assert run(spark, rows) == brute(rows)
     empty = [(jaccard.group_sums(s, 170)[1] == 0).sum() for s in jaccard.sets(pa.array([t for _, t in rows]))]
     assert max(empty) > 0
-    lists = jaccard._prints(spark.createDataFrame(rows, SCHEMA), 4).where("bucket is not null").groupBy("bucket").applyInArrow(jaccard._gather, jaccard.GATHERED)
+    lists = jaccard._gathered(jaccard._prints(spark.createDataFrame(rows, SCHEMA), 4), jaccard.BLOCK)
     assert max(len(r["members"]) // 8 for r in lists.collect()) <= 3
 
 
@@ -126,3 +126,20 @@ def test_no_text_is_lost(spark):
     rows = [(1, "a b c d e", 0, 0), (4, "p q r s", 1, 0), (4, "P  q r S", 1, 0), (4, "other words here", 2, 0), (4, "other words here", 2, 0)]
     kept = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, __maybe int, row int"))
     assert sorted((r["doc_id"], r["text"], r["__maybe"]) for r in kept.collect()) == [(1, "a b c d e", 0), (4, "P  q r S", 1), (4, "other words here", 2)]
+
+
+def test_large_gatherings_in_parts(spark):
+    """Near copies, several families of them that share half of their words, and strangers with one line."""
+    rng = random.Random(10)
+    common, rows = [f"c{i}" for i in range(200)], []
+    for family in range(3):
+        base = common + [f"f{family}x{i}" for i in range(30 + 20 * family)]
+        for _ in range(70):
+            text = list(base)
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(text)))
+    rows += [(2000 + i, " ".join([f"s{i}y{k}" for k in range(9)] + common[:14])) for i in range(60)]
+    for block in (8, 40, 4096):
+        got = sorted(tuple(r) for r in jaccard.components(spark.createDataFrame(rows, SCHEMA), block).collect())
+        assert got == brute(rows), block

@@ -15,7 +15,7 @@ A document is the set of its distinct 3-word shingles (as 64-bit hashes).
 4. The rest are verified on the sets themselves.  First each gathering is
    compared with its central set, which joins groups of copies without all their pairs; what
    is then still in different components is searched through the R-tree, best
-   bounds first, until no untested pair could link two components.
+   bounds first, until no untested pair could link two components.  Large gatherings are dealt in parts.
 
 Defined results: text without words is linked with nothing; null ids take no part and get no
 component; rows that share an id are one document, which links with whatever any of them links with;
@@ -46,8 +46,10 @@ DIMENSIONS = 256
 BANDS = [1, 10]
 while BANDS[-1] < 1 << 40:
     BANDS.append(-(-BANDS[-1] * 3 // 2))
-#: Members of a gathering that are searched at once; larger ones are dealt in blocks, each with each.
-BLOCK = 4096
+#: Members of a gathering that are searched at once.  Larger ones are dealt in parts of half as many, each
+#: with the same ANCHORS first members, which near copies link with; what is in several components
+#: even then is searched against all parts.
+BLOCK, ANCHORS = 4096, 64
 #: Bytes of input, about, for each bucket of signatures.
 BUCKET_BYTES = 2 << 20
 #: Best partners for a set in one round; None: all that are left.
@@ -160,33 +162,40 @@ def _prints(documents: DataFrame, buckets: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PRINT)
 
 
-GATHERED = "lid long, members binary"
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """Of one bucket the documents that share a signature and aren't of one class."""
-    col = lambda name: table.column(name).to_pylist()
-    sigs, docs, kinds = long(b"".join(col("sigs")), SIGNATURE), ids_of(col("docs")), np.frombuffer(b"".join(col("kinds")), np.uint64)
-    order = np.lexsort((docs, kinds, sigs))
-    sigs, docs, kinds = sigs[order], docs[order], kinds[order]
-    new = np.append(True, sigs[1:] != sigs[:-1]) if len(sigs) else np.empty(0, bool)
-    first = np.flatnonzero(new | np.append(True, kinds[1:] != kinds[:-1])) if len(sigs) else np.empty(0, int)
-    sigs, docs = sigs[first], docs[first]  # the least document of each class
-    cut = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs)) if len(sigs) else np.zeros(1, int)
-    length = np.diff(cut)
-    lists: set[bytes] = set()
-    two = cut[:-1][length == 2]
-    if len(two):
-        lists.update(x.tobytes() for x in np.unique(np.sort(np.stack([docs[two], docs[two + 1]], 1), 1), axis=0))
-    for g in np.flatnonzero(length > 2):
-        members = np.unique(docs[cut[g] : cut[g + 1]])
-        parts = [members[i : i + BLOCK // 2] for i in range(0, len(members), BLOCK // 2)]
-        if len(parts) <= 2:
-            lists.add(members.tobytes())
-        else:
-            lists.update(np.concatenate([parts[i], parts[j]]).tobytes() for i in range(len(parts)) for j in range(i))
-    out = [x for x in lists if len(x) > 8]
-    return pa.table({"lid": pa.array([hash_of(x) for x in out], pa.int64()), "members": pa.array(out, pa.binary())})
+GATHERED = "lid long, gid long, members binary"
+
+
+def _gathered(both: DataFrame, block: int) -> DataFrame:
+    """Documents that share a signature and aren't of one class: each list once, by its hash.  gid names
+    the gathering that a list is a part of, if it isn't whole."""
+
+    def run(table):
+        col = lambda name: table.column(name).to_pylist()
+        sigs, docs, kinds = long(b"".join(col("sigs")), SIGNATURE), ids_of(col("docs")), np.frombuffer(b"".join(col("kinds")), np.uint64)
+        order = np.lexsort((docs, kinds, sigs))
+        sigs, docs, kinds = sigs[order], docs[order], kinds[order]
+        new = np.append(True, sigs[1:] != sigs[:-1]) if len(sigs) else np.empty(0, bool)
+        first = np.flatnonzero(new | np.append(True, kinds[1:] != kinds[:-1])) if len(sigs) else np.empty(0, int)
+        sigs, docs = sigs[first], docs[first]  # the least document of each class
+        cut = np.append(np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])), len(sigs)) if len(sigs) else np.zeros(1, int)
+        length = np.diff(cut)
+        lists: dict[bytes, int | None] = {}
+        two = cut[:-1][length == 2]
+        if len(two):
+            lists.update(dict.fromkeys(x.tobytes() for x in np.unique(np.sort(np.stack([docs[two], docs[two + 1]], 1), 1), axis=0)))
+        for g in np.flatnonzero(length > 2):
+            members = np.unique(docs[cut[g] : cut[g + 1]])
+            if len(members) <= block:
+                lists[members.tobytes()] = None
+            else:
+                gid = hash_of(members.tobytes())
+                for i in range(0, len(members), block // 2):
+                    lists[np.union1d(members[:ANCHORS], members[i : i + block // 2]).tobytes()] = gid
+        out = [x for x in lists if len(x) > 8]
+        return pa.table({"lid": pa.array([hash_of(x) for x in out], pa.int64()), "gid": pa.array([lists[x] for x in out], pa.int64()), "members": pa.array(out, pa.binary())})
+
+    rows = both.where("bucket is not null").select("bucket", "sigs", "docs", "kinds")
+    return rows.groupBy("bucket").applyInArrow(run, GATHERED).groupBy("lid").agg(F.max("gid").alias("gid"), F.first("members").alias("members"))
 
 
 def hash_of(members: bytes) -> int:
@@ -373,35 +382,58 @@ def _same_id(prints: DataFrame) -> DataFrame:
     return rows.join(several, "doc_id").distinct().join(_classes(prints), ["n", "k1", "k2"]).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
 
 
-def components(documents: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, half: int) -> DataFrame:
+    """Of large gatherings (lid, doc, label) that are in several components, lists (lid, doc, label) that
+    hold each member outside the gathering's largest component together with each member at all."""
+    sizes = rows.groupBy("lid", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("lid").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("open"))
+    main = main.where("open > 0").select("lid", "main", F.ceil(F.col("open") / half).alias("chunks"), F.ceil(F.col("all") / half).alias("parts"))
+    rows = rows.join(main, "lid").withColumns({"chunk": F.pmod(F.xxhash64("doc"), F.col("chunks")), "part": F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts"))})
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = rows.where("label <> main").select("lid", "chunk", upto("parts").alias("part"), "doc", "label")
+    told = rows.select("lid", upto("chunks").alias("chunk"), "part", "doc", "label")
+    return asked.unionByName(told).select(F.xxhash64("lid", "chunk", "part").alias("lid"), "doc", "label").distinct()
+
+
+def components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     buckets = tasks_for(documents, BUCKET_BYTES)
     both = saved(_prints(documents, buckets))
     prints = both.where("bucket is null").select("doc_id", "n", "k1", "k2", "vec")
-    gathered = both.where("bucket is not null").select("bucket", "sigs", "docs", "kinds").groupBy("bucket").applyInArrow(_gather, GATHERED)
-    lists = saved(gathered.dropDuplicates(["lid"]))
+    lists = saved(_gathered(both, block))
     points = prints.where("doc_id is not null and n > 0").select("doc_id", "n", "vec").distinct()
-    members = saved(_explode(lists))
+    members = saved(_explode(lists.select("lid", "members")))
 
-    def pointed(rows: DataFrame) -> DataFrame:
-        return rows.join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "label", "n", "vec")
+    def pairs(rows: DataFrame, choose) -> DataFrame:
+        return _pairs(rows.join(points, F.col("doc") == F.col("doc_id")).select("lid", "doc", "label", "n", "vec"), choose)
 
-    tested = saved(_pairs(pointed(members.withColumn("label", F.col("doc"))), central_pairs))
+    tested = saved(pairs(members.withColumn("label", F.col("doc")), central_pairs))
     links = saved(_verified(documents, tested).unionByName(_same_id(prints)))
     labels = least_labels(links)
-    for most in ROUNDS:
-        now = members.join(labels, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
-        open_ = now.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
-        found = _pairs(pointed(now.join(open_, "lid")), lambda d, p, n, g, most=most: crossing_pairs(d, p, n, g, most))
-        found = saved(found.join(tested, ["a", "b"], "left_anti"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, F.col("doc") == F.col("node"), "left").select("lid", "doc", F.coalesce("label", "doc").alias("label"))
+
+    def search(rows: DataFrame, most: int | None) -> None:
+        nonlocal tested, links, labels
+        found = saved(pairs(rows, lambda d, p, n, g: crossing_pairs(d, p, n, g, most)).join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
-            continue
+            return
         more = saved(_verified(documents, found))
         tested = tested.unionByName(found)
         if more.limit(1).count():
-            links, old = links.unionByName(more), labels
+            links = links.unionByName(more)
             labels = least_labels(links)
-            released(old)
+
+    for most in ROUNDS:
+        now = labelled(members)
+        open_ = now.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
+        search(now.join(open_, "lid"), most)
+    large = lists.where("gid is not null").select(F.col("gid").alias("lid"), "members")
+    if large.limit(1).count():
+        large = saved(_explode(large).distinct())
+        for most in ROUNDS:
+            search(_across(labelled(large), block // 2), most)
     released(members)
     released(lists)
     classes = _classes(prints).join(labels, F.col("least") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "least").alias("label"))
