@@ -49,7 +49,7 @@ while BANDS[-1] < 1 << 40:
 #: Members of a gathering that are searched at once.  Larger ones are dealt in parts of half as many, each
 #: with the same ANCHORS first members, which near copies link with; what is in several components
 #: even then is searched against all parts.
-BLOCK, ANCHORS = 4096, 64
+BLOCK, ANCHORS = 1024, 32
 #: Bytes of input, about, for each bucket of signatures.
 BUCKET_BYTES = 2 << 20
 #: Best partners for a set in one round; None: all that are left.
