@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tideline.llm import _tokens as tk
@@ -81,3 +82,41 @@ def test_longest_matches(spark):
     got = contamination.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item)], BENCH)).collect()
     assert {tuple(r) for r in got} == {(1, 2, "7", 5, 20), (2, 0, "7", 0, 30), (3, 1, "7", 0, 14)}
     assert tk.SLICE_BYTES
+
+
+def test_suffix_array():
+    rng = random.Random(8)
+    for _ in range(40):
+        words = np.array([rng.randrange(3) for _ in range(rng.randrange(1, 60))])
+        cuts = sorted({0, *(rng.randrange(len(words)) for _ in range(rng.randrange(5)))})
+        ends = np.repeat([*cuts[1:], len(words)], np.diff([*cuts, len(words)]))
+        suffix = lambda i: words[i : ends[i]].tolist()
+        got = contamination.suffix_array(words, ends, len(words)).tolist()
+        assert got == sorted(range(len(words)), key=lambda i: (suffix(i), i))
+        tests = np.arange(max(0, len(words) - 3))
+        lo, hi = (contamination.bound(words, ends, np.array(got), words, tests, 4, after) for after in (False, True))
+        for t in tests.tolist():
+            window = words[t : t + 4].tolist()
+            assert sorted(got[lo[t] : hi[t]]) == [i for i in range(len(words)) if suffix(i)[:4] == window]
+
+
+def test_all_longest_matches(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("ab" if n % 2 else "abcde") for _ in range(n))
+    bench = [(i, text(rng.choice([2, 7, 12, 13, 14, 25, 40]))) for i in range(9)] + [(20, "a " * 30)]
+    docs = [(i, text(rng.randrange(70)) + " zz " + rng.choice(bench)[1]) for i in range(30)] + [(99, "a " * 50)]
+    want = set()
+    for d, t in docs:
+        for i, item in bench:
+            a, b = words(t), words(item)
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if x and y and a[x - 1] == b[y - 1]:
+                        continue
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if n >= min(13, len(b)):
+                        want.add((d, x, str(i), y, n))
+    got = [tuple(r) for r in contamination.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -1,11 +1,13 @@
 """Benchmark decontamination by suffix arrays over shards of the training text.
 
-Every slice of documents is a shard.  Its sparse suffix array holds the
-suffixes that can match at all: names of 1, 2, 4 and 8 words are handed down
-from the benchmark by doubling, and a suffix whose first words have no name is
-left out.  What remains is sorted, every benchmark suffix is binary-searched in
-it, and hits on one diagonal join into the longest verbatim matches with their
-places.  Documents stay where they are: no shuffle, one pass.
+Every slice of documents is a shard.  Its text is cut down to the stretches that
+can match at all: names of 1, 2, 4 and 8 words are handed down from the
+benchmark by doubling, and words in no named run are left out.  The suffixes of
+what remains are sorted whole, every benchmark suffix that starts a window is
+binary-searched among them, and the range of suffixes that agree with it in a
+window gives all its places; a match that goes no further to the left is
+lengthened to the right into the longest verbatim match.  Documents stay where
+they are: no shuffle, one pass.
 
 Defined results: null and empty texts have no words and are never contaminated;
 repeated rows are judged alike, each for itself; an empty benchmark
@@ -33,6 +35,11 @@ DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 MATCHES = "doc_id long, doc_word long, item_id string, item_word long, n_words long"
 
 
+def half(n: int) -> int:
+    """The greatest power of two up to n: two such runs make up n words."""
+    return 1 << (n.bit_length() - 1)
+
+
 class Names:
     """The benchmark's words and runs of 2, 4 and 8 words, each with its rank among its kind."""
 
@@ -53,14 +60,20 @@ class Names:
             self.ranks[2 * size] = self._find(keys, self.levels[2 * size])
             size *= 2
         lengths = np.minimum(np.diff(self.offs), window)
-        #: For each length of window: sorted distinct keys, the benchmark positions of each.
+        #: For each length of window: its suffixes by their windows, where each window's begin, and
+        #: which names of half a window or more its items hold.
         self.search: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in np.unique(lengths[lengths > 0]).tolist():
             keys = self.keys(self.ranks, self.offs, n)
-            at = np.flatnonzero((keys >= 0) & (lengths[self.doc] == n))
+            mine = lengths[self.doc] == n
+            at = np.flatnonzero((keys >= 0) & mine)
             order = at[np.argsort(keys[at], kind="stable")]
-            distinct, first = np.unique(keys[order], return_index=True)
-            self.search[n] = distinct, np.append(first, len(order)), order
+            first = np.unique(keys[order], return_index=True)[1]
+            size = half(n)
+            held = np.zeros(len(self.levels[size]), bool)
+            held[self.ranks[size][mine & (self.ranks[size] >= 0)]] = True
+            self.search[n] = order, np.append(first, len(order)), held
+        self.longest = int(np.diff(self.offs).max(initial=0))
 
     @staticmethod
     def _pair(ranks: np.ndarray, gap: int, size: int, offs: np.ndarray) -> np.ndarray:
@@ -85,8 +98,7 @@ class Names:
 
     def keys(self, ranks: dict[int, np.ndarray], offs: np.ndarray, n: int) -> np.ndarray:
         """For each position the key of its first n words: two overlapping runs of names."""
-        size = 1 << (n.bit_length() - 1)
-        return self._pair(ranks[size], n - size, size, offs)
+        return self._pair(ranks[half(n)], n - half(n), half(n), offs)
 
     def rank_words(self, hashes: np.ndarray, offs: np.ndarray) -> dict[int, np.ndarray]:
         """The names of the runs that start at each word of a shard; -1: not in the benchmark."""
@@ -98,40 +110,98 @@ class Names:
         return ranks
 
 
-def shard_hits(names: Names, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
-    """One shard: offsets of its words; and for each window that occurs, the words at which it
-    does, the benchmark words at which it stands, and its length."""
+def suffix_array(words: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of the words from each to its stretch's end, by doubling.
+
+    Words past `depth` need not be told apart; equal suffixes stand in the order of position.
+    """
+    rank = np.unique(words, return_inverse=True)[1] + 1
+    size, classes = 1, int(rank.max(initial=0))
+    while size < depth and classes < len(words):
+        then = np.arange(len(words)) + size
+        after = np.where(then < ends, rank[np.minimum(then, len(words) - 1)], 0)
+        rank = np.unique(rank * (len(words) + 1) + after, return_inverse=True)[1] + 1
+        if (now := int(rank.max())) == classes:  # nothing told apart now is told apart later
+            break
+        size, classes = 2 * size, now
+    return np.argsort(rank, kind="stable")
+
+
+def bound(words: np.ndarray, ends: np.ndarray, suffixes: np.ndarray, bench: np.ndarray, tests: np.ndarray, n: int, after: bool) -> np.ndarray:
+    """For each test suffix by binary search the first suffix not below (after: above) its first n words."""
+    low, high = np.zeros(len(tests), np.int64), np.full(len(tests), len(suffixes), np.int64)
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        at, test, sign = suffixes[middle], tests[open_], np.zeros(len(open_), np.int64)
+        equal = np.arange(len(open_))
+        for k in range(n):
+            here = at[equal] + k
+            word = np.where(here < ends[at[equal]], words[np.minimum(here, len(words) - 1)], -1)
+            sign[equal] = np.sign(word - bench[test[equal] + k])
+            equal = equal[sign[equal] == 0]
+        below = sign <= 0 if after else sign < 0
+        low[open_[below]], high[open_[~below]] = middle[below] + 1, middle[~below]
+    return low
+
+
+def shard_hits(names: Names, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """One shard: offsets of its words; their names; and for each window that occurs, the words at
+    which it does, the benchmark words at which it stands, and its length."""
     data = tk.lower(data)
     start, end, word_offs = tk.words(data, offs, tk.table("alnum"))
     found: list[tuple[np.ndarray, np.ndarray, int]] = []
-    if len(start) and names.search:
-        ranks = names.rank_words(tk.Hashes(data).spans(start, end), word_offs)
-        for n, (tests, first, where) in names.search.items():
-            keys = names.keys(ranks, word_offs, n)
-            suffixes = np.flatnonzero(keys >= 0)
-            suffixes = suffixes[np.argsort(keys[suffixes], kind="stable")]  # the shard's suffix array
-            lo = np.searchsorted(keys[suffixes], tests, "left")
-            hi = np.searchsorted(keys[suffixes], tests, "right")
-            found += [(suffixes[lo[t] : hi[t]], where[first[t] : first[t + 1]], n) for t in np.flatnonzero(hi > lo)]
-    return word_offs, found
-
-
-def expanded(found: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hits one by one: word, benchmark word, length."""
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    return np.concatenate([np.repeat(a, len(t)) for a, t, _ in found]), np.concatenate([np.tile(t, len(a)) for a, t, _ in found]), np.concatenate([np.full(len(a) * len(t), n) for a, t, n in found])
-
-
-def longest(at: np.ndarray, test: np.ndarray, n: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hits that follow one another on a diagonal, joined: word, benchmark word, length."""
-    order = np.lexsort((at, at - test, item, doc))
-    at, test, n, doc, item = at[order], test[order], n[order], doc[order], item[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (test[1:] != test[:-1] + 1) | (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], test[first], at[last] + n[last] - at[first] if len(at) else n
+    if not len(start) or not names.search:
+        return word_offs, np.full(len(start), -1, np.int64), found
+    ranks = names.rank_words(tk.Hashes(data).spans(start, end), word_offs)
+    opened, seen = np.zeros(len(start) + 1, np.int64), {}
+    for n, (_, _, held) in names.search.items():
+        at = np.flatnonzero(ranks[half(n)] >= 0)
+        at = at[held[ranks[half(n)][at]]]
+        opened[at] += 1
+        opened[at + half(n)] -= 1
+        seen[n] = np.zeros(len(held), bool)
+        seen[n][ranks[half(n)][at]] = True
+    place = np.flatnonzero(np.cumsum(opened[:-1]) > 0)  # the words that can match
+    if len(place):
+        first_word = np.zeros(len(start) + 1, bool)
+        first_word[word_offs[:-1]] = True
+        new = first_word[place]
+        new[0] = True
+        new[1:] |= np.diff(place) > 1
+        first = np.flatnonzero(new)
+        lengths = np.diff(np.append(first, len(place)))
+        ends = np.repeat(first + lengths, lengths)
+        words, bench = ranks[1][place], names.ranks[1]
+        suffixes = suffix_array(words, ends, min(int(lengths.max()), names.longest))
+        for n, (order, group, _) in names.search.items():
+            have = np.flatnonzero(seen[n][names.ranks[half(n)][order[group[:-1]]]])
+            tests = order[group[have]]
+            lo = bound(words, ends, suffixes, bench, tests, n, False)
+            hi = bound(words, ends, suffixes, bench, tests, n, True)
+            found += [(place[suffixes[lo[t] : hi[t]]], order[group[have[t]] : group[have[t] + 1]], n) for t in np.flatnonzero(hi > lo)]
+    return word_offs, ranks[1], found
+
+
+def longest(names: Names, words: np.ndarray, word_offs: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The matches that can be lengthened to neither side: word, benchmark word, length."""
+    bench, begin, stop = names.ranks[1], names.offs[:-1], names.offs[1:]
+    for at, test, n in found:
+        doc = np.searchsorted(word_offs, at, "right") - 1
+        left = np.where(at > word_offs[doc], words[at - 1], -1)
+        before = np.where(test > begin[names.doc[test]], bench[test - 1], -2)
+        for word in np.unique(before).tolist():
+            free, tests = left != word, test[before == word]
+            for t in tests.tolist():
+                a, last = at[free], word_offs[doc[free] + 1]
+                length, more = np.full(len(a), n), np.arange(len(a))
+                for k in range(n, int(stop[names.doc[t]]) - t):
+                    more = more[a[more] + k < last[more]]
+                    more = more[words[a[more] + k] == bench[t + k]]
+                    if not len(more):
+                        break
+                    length[more] += 1
+                if len(a):
+                    yield a, np.full(len(a), t), length
 
 
 def judge(texts: pa.Array, blocks: list[Names]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
@@ -141,7 +211,7 @@ def judge(texts: pa.Array, blocks: list[Names]) -> tuple[np.ndarray, np.ndarray,
     for first, last, part, part_offs in tk.slices(data, offs):
         opened = None
         for names in blocks:
-            word_offs, found = shard_hits(names, part, part_offs)
+            word_offs, _, found = shard_hits(names, part, part_offs)
             if opened is None:
                 opened = np.zeros(word_offs[-1] + 1, np.int64)
                 n_words[first:last] = np.diff(word_offs)
@@ -211,15 +281,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             data, offs = tk.buffers(b.column(1))
             for first, _, part, part_offs in tk.slices(data, offs):
                 for names in blocks:
-                    word_offs, found = shard_hits(names, part, part_offs)
-                    at, test, n = expanded(found)
-                    doc = np.searchsorted(word_offs, at, "right") - 1
-                    at, test, n = longest(at, test, n, doc, names.doc[test])
-                    doc, item = np.searchsorted(word_offs, at, "right") - 1, names.doc[test]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(first + doc, pa.int64())), pa.array(at - word_offs[doc], pa.int64()), pa.array([names.ids[i] for i in item.tolist()], pa.string()), pa.array(test - names.offs[item], pa.int64()), pa.array(n, pa.int64())],
-                        names=["doc_id", "doc_word", "item_id", "item_word", "n_words"],
-                    )
+                    word_offs, words, found = shard_hits(names, part, part_offs)
+                    for at, test, n in longest(names, words, word_offs, found):
+                        doc, item = np.searchsorted(word_offs, at, "right") - 1, names.doc[test]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(first + doc, pa.int64())), pa.array(at - word_offs[doc], pa.int64()), pa.array([names.ids[i] for i in item.tolist()], pa.string()), pa.array(test - names.offs[item], pa.int64()), pa.array(n, pa.int64())],
+                            names=["doc_id", "doc_word", "item_id", "item_word", "n_words"],
+                        )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
 
