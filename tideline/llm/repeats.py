@@ -11,6 +11,8 @@ suffixes that share a gram meet in one bucket:
    class's first loses the whole context.  A class goes on only with its first
    document, and only if another class of the gram shares the 15 bytes on
    its left or on its right, without which no common string of 50 bytes can hold the gram.
+   A gram with more than SPLIT such classes isn't one group: they meet once for each 15 bytes on the
+   left and once for each on the right, which finds the same strings.
 2. For what goes on, the bytes of the contexts are fetched.  In each bucket the suffixes
    are sorted, the array of common prefixes is scanned with a stack into the interval tree,
    and each interval's members are split by what precedes them: a set of
@@ -42,6 +44,8 @@ GRAM = 20
 BUCKET_BYTES = 4 << 20
 #: A string has LENGTH - GRAM bytes around its anchor, so this many on one side at least.
 SIDE = (LENGTH - GRAM) // 2
+#: Classes of a gram that are compared in one group; of a gram with more, those that share a side are.
+SPLIT = 1024
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -155,9 +159,10 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, cols, strict=True)})
 
 
-def _classes(bucket: int, rows: list[tuple], every: bool = False) -> tuple[tuple, tuple]:
-    """Of one bucket: what equal contexts cover, and the contexts to be compared, those of later
-    members of a class as well if every one is wanted; as columns (docs, starts, extra, keys)."""
+def _classes(bucket: int, rows: list[tuple], split: int | None = SPLIT) -> tuple[tuple, tuple]:
+    """Of one bucket: what equal contexts cover, and the contexts to be compared, as columns
+    (docs, starts, extra, keys).  split: the classes of a gram that are one group (None: any
+    number, and later members of a class as well)."""
     _, h, k, docs, starts, extra = zip(*rows, strict=True)
     h, k = np.frombuffer(b"".join(h), np.uint32), np.frombuffer(b"".join(k), np.uint64)
     docs, starts, extra = ids_of(docs), unpacked(starts, np.uint32), unpacked(extra, np.uint16)
@@ -175,21 +180,32 @@ def _classes(bucket: int, rows: list[tuple], every: bool = False) -> tuple[tuple
     later = docs > np.repeat(docs[first], size)  # than the class's first document
     keep = np.zeros(len(first), bool)
     ch, ck = h[first], k[first]
+    sides = []
     for shift in (40, 52):  # classes of a gram that share a side
         side = (ck >> np.uint64(shift)) & np.uint64(0xFFF)
         by = np.lexsort((side, ch))
         start = _edges(ch[by], side[by])
-        keep[by] |= ~(start & np.append(start[1:], True))
-    ask = np.repeat(keep, size) & ~later | every
+        shared = np.zeros(len(first), bool)
+        shared[by] = ~(start & np.append(start[1:], True))
+        keep |= shared
+        sides.append((shared, side | np.uint64(shift << 12)))
     keys = h.astype(np.int64) | (bucket << 32)
-    return (docs[later], starts[later], (extra[later] >> 8) + np.uint16(LENGTH), keys[later]), (docs[ask], starts[ask], extra[ask], keys[ask])
+    gram = np.cumsum(_edges(ch)) - 1
+    many = np.bincount(gram, keep)[gram] > (np.inf if split is None else split)
+    at = np.flatnonzero(np.repeat(keep & ~many, size) & ~later | (split is None))
+    asked = [(at, keys[at])]
+    for shared, side in sides:
+        at = np.flatnonzero(np.repeat(shared & many, size) & ~later)
+        asked.append((at, tk.mix(keys[at].view(np.uint64) ^ tk.mix(np.repeat(side, size)[at])).view(np.int64)))
+    at, names = (np.concatenate(c) for c in zip(*asked, strict=True))
+    return (docs[later], starts[later], (extra[later] >> 8) + np.uint16(LENGTH), keys[later]), (docs[at], starts[at], extra[at], names)
 
 
 #: Entries that a task holds before it writes them out by document.
 HELD = 1_000_000
 
 
-def _classed(entries: DataFrame, buckets: int, every: bool) -> DataFrame:
+def _classed(entries: DataFrame, buckets: int, split: int | None) -> DataFrame:
     """Rows of kind 0 (covered) and 1 (to be compared), from all buckets of a task together."""
 
     def run(batches):
@@ -202,7 +218,7 @@ def _classed(entries: DataFrame, buckets: int, every: bool) -> DataFrame:
                 yield from _table(list(_by_document(kind, docs, starts, extra, keys if kind else None, buckets)), CLASSES).to_batches()
 
         for rows in groups_of(batches):
-            for kind, x in enumerate(_classes(rows[0][0], rows, every)):
+            for kind, x in enumerate(_classes(rows[0][0], rows, split)):
                 held[kind].append(x)
             if sum(len(x[0]) for kind in held for x in kind) > HELD:
                 yield from flush()
@@ -344,7 +360,7 @@ def repeat_groups(documents: DataFrame) -> DataFrame:
             if out:
                 yield from _table(out, GROUPS).to_batches()
 
-    docs, classes, buckets = _found(documents, every=True)
+    docs, classes, buckets = _found(documents, split=None)
     return _asked(docs, classes, buckets).repartition("key").sortWithinPartitions("key").mapInArrow(run, GROUPS)
 
 
@@ -370,11 +386,11 @@ def _placed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "dbucket int, doc_id long, text string")
 
 
-def _found(documents: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame, int]:
+def _found(documents: DataFrame, split: int | None = SPLIT) -> tuple[DataFrame, DataFrame, int]:
     """The documents' ids and texts, rows of CLASSES, and the number of buckets of documents."""
     parts = tasks_for(documents, BUCKET_BYTES)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs, saved(_classed(_entries(docs, parts), parts, every)), parts
+    return docs, saved(_classed(_entries(docs, parts), parts, split)), parts
 
 
 def _asked(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
@@ -408,9 +424,9 @@ def _edges_of_runs(gone: np.ndarray) -> int:
     return int((gone & ~np.append(False, gone[:-1])).sum()) if len(gone) else 0
 
 
-def removals(documents: DataFrame) -> DataFrame:
+def removals(documents: DataFrame, split: int = SPLIT) -> DataFrame:
     """Per document what goes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs, classes, buckets = _found(documents)
+    docs, classes, buckets = _found(documents, split)
     contexts = _asked(docs, classes, buckets)
     spans = saved(classes.where("kind = 0").unionByName(_compared(contexts, buckets)).select("dbucket", "docs", "starts", "extra"))
     rows = marked(docs, "doc_id", _docs_of(spans), "__id").withColumn("__maybe", F.col("__maybe") & F.col("doc_id").isNotNull())
