@@ -61,18 +61,6 @@ def test_one_line_in_all(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_grams_of_many_classes(spark):
-    """A gram whose classes are compared by their sides loses the same bytes as one group does."""
-    rng = random.Random(6)
-    line = "".join(rng.choice("abcdefgh ") for _ in range(64))
-    noise = lambda: "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(40)))
-    rows = [(i * 31 % 401, noise() + line[rng.randrange(12) : 64 - rng.randrange(12)] + noise()) for i in range(200)]
-    rows += [(500 + i, rng.choice(["ab", "aab"]) * rng.randrange(60) + noise()) for i in range(40)]
-    want = brute(rows)
-    for split in (1, 20):
-        assert sorted(tuple(r) for r in repeats.removals(spark.createDataFrame(rows, SCHEMA), split).collect()) == want
-
-
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 49), (5, "y" * 50), (6, "y" * 50), (7, "y" * 50)]
     assert run(spark, rows) == brute(rows)
