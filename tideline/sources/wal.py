@@ -1,8 +1,8 @@
 """A source and sink for binary logs.
 
 A folder holds segments, each a file of records: seq (8 bytes, lowest first), length (4, lowest
-first), payload, CRC-64 of the payload (8, lowest first).  Files are named by their bounds
-and rows, and no file says more than its own records do; a scan after
+first), payload, CRC-64 of the payload (8, lowest first).  Files are named by their bounds,
+rows, job, writer and number with that writer, and no file says more than its own records do; a scan after
 a seq skips files that end before it, by a manifest of bounds that the sink keeps.
 
 Options: path (required), segment_bytes, recover (truncate: a bad record ends its
@@ -74,7 +74,7 @@ OPENED = "segment string, first_seq long, last_seq long, cut_bytes long"
 def opened(spark: SparkSession, path: str) -> DataFrame:
     """Goes through all segments of a folder, cuts each behind its last sound record, and says what it
     holds: segment, first_seq, last_seq, cut_bytes.  Writing goes on behind the greatest last_seq."""
-    path = _local(path)
+    path = local(path)
 
     def run(frames):
         for pdf in frames:
@@ -87,11 +87,20 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
 
 def files(path: str) -> list[str]:
     """The segments of a folder, in order."""
-    path = _local(path)
+    path = local(path)
     return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith(".log")]
 
 
-def _local(path: str) -> str:
+def last_files(path: str) -> list[str]:
+    """Of each writer the segment that it wrote last: all others were closed, so a crash tears only these."""
+    last: dict[tuple[str, ...], tuple[int, str]] = {}
+    for name in files(path):
+        *writer, i = os.path.basename(name).split(".")[0].split("-")[3:]
+        last[tuple(writer)] = max(last.get(tuple(writer), (-1, "")), (int(i), name))
+    return sorted(name for _, name in last.values())
+
+
+def local(path: str) -> str:
     """The folder as this machine sees it; it has to be mounted everywhere."""
     return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
 
@@ -103,7 +112,7 @@ class Segment(InputPartition):
 
 class WalReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.recover, self.after = _local(options["path"]), options.get("recover", "truncate"), 0
+        self.path, self.recover, self.after = local(options["path"]), options.get("recover", "truncate"), 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -140,7 +149,7 @@ class WalWriter(DataSourceWriter):
     """Segments appear when all tasks have ended: files are renamed on commit."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.cap, self.overwrite = _local(options["path"]), int(options.get("segment_bytes", SEGMENT_BYTES)), overwrite
+        self.path, self.cap, self.overwrite = local(options["path"]), int(options.get("segment_bytes", SEGMENT_BYTES)), overwrite
         self.job = uuid.uuid4().hex
 
     def write(self, rows) -> Written:
@@ -168,8 +177,9 @@ class WalWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         os.makedirs(self.path, exist_ok=True)
         old = [x for x in os.listdir(self.path) if x.endswith(".log")] if self.overwrite else []
-        for i, (name, first, last, n, _) in enumerate(f for m in messages for f in (m.files if m else ())):
-            os.replace(name, os.path.join(self.path, f"{first:020d}-{last:020d}-{n}-{self.job[:8]}{i}.log"))
+        for writer, m in enumerate(messages):
+            for i, (name, first, last, n, _) in enumerate(m.files if m else ()):
+                os.replace(name, os.path.join(self.path, f"{first:020d}-{last:020d}-{n}-{self.job[:8]}-{writer}-{i}.log"))
         for name in old:
             os.remove(os.path.join(self.path, name))
         self._clear()
@@ -213,7 +223,7 @@ def register(spark: SparkSession) -> None:
 
 def collect_segments(path: str, least_seq: int) -> int:
     """Deletes files that end at or before a seq, but never the last; how many went."""
-    path = _local(path)
+    path = local(path)
     names = sorted(x for x in os.listdir(path) if x.endswith(".log"))
     gone = [x for x in names[:-1] if int(x.split("-")[1]) <= least_seq]
     for x in gone:
